@@ -14,7 +14,7 @@ mistyped: by two edits from six letters on, by one at five; derived forms with s
 agree.
 
 Defined results: null and blank values give no result; values whose key is empty, far from all entries or equally near
-to different entries are unmatched (0); each distinct value is looked up once; repeated rows count once; an empty
+to different entries, also by their words in order, are unmatched (0); each distinct value is looked up once; repeated rows count once; an empty
 reference leaves every value unmatched; very long values are compared only if their length can match.
 """
 
@@ -223,6 +223,7 @@ class Index:
         self.keys = variants(entries)
         self.tree = BKTree(sorted(k for k, v in self.keys.items() if v[1]))
         self.longest = max(map(len, self.keys), default=0)
+        self.names = {cid: " ".join(words_of(name)) for cid, name, _ in entries}
 
     def nearest(self, key: str) -> tuple[int, int, int] | None:
         """(distance, lowest and highest entry at that distance), or None."""
@@ -238,6 +239,15 @@ class Index:
         ids = [cid for d, cid in near if d == best]
         return best, min(ids), max(ids)
 
+    def settle(self, value: str, key: str) -> tuple[int, int, int]:
+        """A tie of entries settled by how near their full names are to the value's words in order, if that differs."""
+        best = self.nearest(key)[0]
+        ids = {self.keys[k][0] for d, k in self.tree.within(key, RADIUS) if d == best and d <= self.keys[k][1]}
+        words = " ".join(words_of(value))
+        near = sorted((distance(words, self.names[cid]), cid) for cid in ids)
+        ids = [cid for d, cid in near if d == near[0][0]]
+        return best, min(ids), max(ids)
+
 
 def _shards(reference: DataFrame) -> Iterator[list[tuple[int, str, list[str]]]]:
     rows = reference.select(
@@ -259,7 +269,8 @@ def _look_up(names: DataFrame, index: Index) -> DataFrame:
             for name, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if key not in seen:
                     seen[key] = index.nearest(key)
-                rows.append((name, *(seen[key] or (None, None, None))))
+                found = seen[key] or (None, None, None)
+                rows.append((name, *(index.settle(name, key) if found[1] != found[2] else found)))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
