@@ -3,9 +3,9 @@
 A text is cut into blocks at blank lines. A line that is a heading, list item, log, settings or chat line is one unit.
 In prose every mark that may end a sentence is a position to decide: a rule is a pair of patterns, one for the text up
 to the position and one for the text after it, and says break or no break. Rules stand in tables, one per language, in
-order; for a position the tables are tried in cascade (the block's language, the document's, the others of its script,
-the common table) and the first rule that matches decides. Quotations and brackets are found first and enter as the
-common table's first rules. The language tables are chosen per block, since documents mix languages and their label may
+order; for a position the tables are tried in cascade (those of the block's script, the document's language first, then
+the other Latin ones, then the common table) and the first rule that matches decides. Quotations and brackets are found first; no
+position inside one is a candidate. The language tables are chosen per block, since documents mix languages and their label may
 be missing or wrong.
 
 Defined results: null and blank texts have no units; a unit ends at its last character that is not white space; signs
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +35,9 @@ class Rule:
 
 
 def _rules(*rows: tuple[bool, str, str]) -> tuple[Rule, ...]:
-    return tuple(Rule(b, re.compile(f"(?:{before})$"), re.compile(after)) for b, before, after in rows)
+    """Abbreviations count in either case and with up to three blanks inside; what follows is matched as it stands."""
+    wide = lambda p: p.replace(r"\s?", r"\s{0,3}")
+    return tuple(Rule(b, re.compile(f"(?:{wide(before)})$", re.I), re.compile(after)) for b, before, after in rows)
 
 
 _W = r"(?<!\w)"
@@ -42,6 +45,8 @@ _ANY = r"(?=\s)"
 _LOW = r"\s+[\"'“„«(\[]?[a-zß-öø-ÿа-яёα-ωά-ώ]"
 _UP = r"\s+[\"'“„«(\[]?[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ]"
 _NUM = r"\s+[(\[]?[\d§]"
+_CLOSER = r"(?:[\"'”“’»›)\]）」』】》〉]|\s[»›])"
+_CLOSE, _CLOSED = _CLOSER + "*", _CLOSER + "+"
 
 #: Ordered rules per language: (breaks, pattern before, pattern after). The abbreviations are fixed values.
 TABLES: dict[str, tuple[Rule, ...]] = {
@@ -90,117 +95,130 @@ TABLES: dict[str, tuple[Rule, ...]] = {
     "hi": _rules((False, r"(?<![ऀ-ॣ])(?:डॉ|श्री|प्रो|पं|सु|कु|मि|रु|नं|सं|डा|इं)\.", _ANY), (True, r"[।॥]", r"")),
     "th": _rules((False, r"(?:พ|ศ|น|ดร|นาย|เลข|ค|จ|อ|ต)\.", r"")),
     "zh": _rules(
-        (False, r"[。！？!?][”’」』]", r"\s?(?:然后|后来|就|便|说|道|地|的|是|之类|这|，|。|、|；|,)"),
+        (False, r"[。！？!?…][”’」』]+", r"\s?(?:然后|后来|随后|就|便|并|而|且|再|又|但|却|说|道|地|的|是|之类|这|，|。|、|；|,)"),
         (False, r"(?:…+|\.{3,})", r"\S"),
         (True, r"[。！？｡][」』”’）)】]*", r""),
     ),
     "ja": _rules(
-        (False, r"[。！？!?][」』”’]", r"\s?(?:と|って|という|の|が|を|は|に|も|で|など|や|から|まで|へ|、|。|だ)"),
+        (False, r"[。！？!?…][」』”’]+", r"\s?(?:と|って|という|の|が|を|は|に|も|で|など|や|から|まで|へ|、|。|だ)"),
         (False, r"(?:…+|\.{3,})", r"\S"),
         (True, r"[。！？｡][」』”’）)】]*", r""),
     ),
     "common": _rules(
-        (False, r"(?:…+|\.{3,})[\"'”’»)\]]*", _LOW),
-        (False, r"[.!?…][\"'”“’»›)\]」』]+", _LOW),
+        (False, r"(?:…+|\.{3,})" + _CLOSE, _LOW),
+        (False, r"[.!?…]" + _CLOSED, _LOW),
         (False, r"(?:^|[\s(«„“\"\[])[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]\.", r"\s+[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]"),
-        (False, r"[;;]", r""),
-        (True, r"[.!?…。！？｡؟۔।॥]+(?:[\"'”“’»›)\]）」』】》〉]|[   ][»›])*", r"\s|$"),
-        (True, r"[。！？｡؟।॥]+(?:[”’」』）)】》〉])*", r""),
+        (False, r"[;;]", r""),
+        (True, r"[.!?…。！？｡؟۔।॥]" + _CLOSE, r"\s|$"),
+        (True, r"[。！？｡؟।॥]" + _CLOSE, r""),
     ),
 }
 
-#: Scripts by a character of theirs, in the order of test, and the tables that belong to each.
+#: Tables of each script by the names of its blocks of code points, in the order of test.
 SCRIPTS = (
-    ("ja", re.compile(r"[぀-ヿ]"), ("ja", "zh")),
-    ("zh", re.compile(r"[㐀-䶿一-鿿]"), ("zh", "ja")),
-    ("th", re.compile(r"[ก-๛]"), ("th",)),
-    ("hi", re.compile(r"[ऀ-ॿ]"), ("hi",)),
-    ("ar", re.compile(r"[؀-ۿ]"), ("ar",)),
-    ("ru", re.compile(r"[Ѐ-ӿ]"), ("ru",)),
-    ("el", re.compile(r"[Ͱ-Ͽἀ-῿]"), ("el",)),
-)
+    (re.compile(r"[\u3040-\u30ff]"), ("ja", "zh")),
+    (re.compile(r"[\u3400-\u4dbf\u4e00-\u9fff]"), ("zh", "ja")),
+    (re.compile(r"[\u0e00-\u0e7f]"), ("th",)),
+    (re.compile(r"[\u0900-\u097f]"), ("hi",)),
+    (re.compile(r"[\u0600-\u06ff]"), ("ar",)),
+    (re.compile(r"[\u0400-\u04ff]"), ("ru",)),
+    (re.compile(r"[\u0370-\u03ff\u1f00-\u1fff]"), ("el",)),
+)
+_NOT_LATIN = re.compile(r"[\u0370-\u1fff\u3040-\u9fff]")
 LATIN = ("en", "de", "fr", "es")
-#: Frequent words that tell the Latin languages apart. Fixed values.
-STOPWORDS = {
-    "de": re.compile(r"\b(?:der|die|das|und|nicht|ist|hat|auf|von|für|mit|wird|nach|beim)\b", re.I),
-    "fr": re.compile(r"\b(?:le|la|les|des|est|pour|dans|une|par|avec|sur|depuis|au)\b", re.I),
-    "es": re.compile(r"\b(?:el|los|las|una|para|con|del|por|desde|según|cuando|en)\b", re.I),
-    "en": re.compile(r"\b(?:the|of|and|to|is|that|for|with|was|on|from|by)\b", re.I),
-}
 
 _LINE = re.compile(r"\r\n|[\n\r  \x85\x0b\x0c]")
-_HEADING = re.compile(r"\s*(?:#{1,6}\s+\S|={3,}\s*$|-{3,}\s*$)")
 _LIST = re.compile(r"\s*(?:[-*•‣◦▪·+–—]|\d{1,3}[.)]|\(\d{1,3}\)|[a-z]\))\s+\S")
-_LOG = re.compile(r"\s*\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\]?\s+\[?(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL|CRITICAL)\b")
-_SETTING = re.compile(r"\s*(?:export\s+[\w.\-]+\s*=|[\w\-]+(?:\.[\w\-]+)+\s*(?:=|:\s)|[\w.\-]+=\S|--?[\w\-]+=\S)")
-_CHAT = re.compile(r"\s*\[\d{1,2}:\d{2}(?::\d{2})?\]\s")
+_TYPED = re.compile(
+    r"\s*(?:#{1,6}\s+\S|={3,}\s*$|-{3,}\s*$"
+    r"|\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\]?\s+\[?(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL|CRITICAL)\b"
+    r"|export\s+[\w.\-]+\s*=|[\w\-]+(?:\.[\w\-]+)+\s*(?:=|:\s)|[\w.\-]+=\S|--?[\w\-]+=\S"
+    r"|\[\d{1,2}:\d{2}(?::\d{2})?\]\s)"
+)
 
+_OPENER = re.compile(r"[\"“„«‹「『《(（\[【]")
 _QUOTED = re.compile(
     r"„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|‹[^‹›]*›|「[^「」]*」|『[^『』]*』|《[^《》]*》|(?<!\w)\"[^\"]*\"(?!\w)"
     r"|\((?:[^()]|\([^()]*\))*\)|（(?:[^（）]|（[^（）]*）)*）|\[[^\[\]]*\]|【[^【】]*】"
 )
 _MARK = re.compile(
-    r"[.!?…;;。！？｡؟۔।॥]+(?:[\"'”“’»›)\]）」』】》〉]|[   ][»›])*"
+    r"[.!?…;;]*[。！？｡؟۔।॥][.!?…。！？｡؟۔।॥]*" + _CLOSE + r"|[.!?…;;]+" + _CLOSE + r"(?=\s|$)"
 )
-_SOLID = frozenset("。！？｡؟।॥")
-_THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
-_LOWER_NEXT = re.compile(r"\s*[\"'“„«(\[]?[a-zß-öø-ÿа-яёα-ωά-ώ]")
+_THAI_GAP = re.compile(r"(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])\s+(?=[\u0e01-\u0e3a\u0e40-\u0e4e])")
+_TAIL = re.compile(r"[^\W\d_]+\Z")
 _BEFORE = 28
+_MOST_KNOWN = 200_000
 
 
 def typed(line: str, above_is_prose: bool) -> bool:
     """Whether a line is a heading, list item, log, settings or chat line; a list does not begin inside prose."""
-    if _HEADING.match(line) or _LOG.match(line) or _CHAT.match(line) or _SETTING.match(line):
-        return True
-    return not above_is_prose and bool(_LIST.match(line))
+    return bool(_TYPED.match(line)) or not above_is_prose and bool(_LIST.match(line))
+
+
+class Cascade:
+    """Rule tables in the order in which they are tried, with what is known of the words before a mark."""
+
+    def __init__(self, names: tuple[str, ...]) -> None:
+        self.special = tuple(rule for n in names for rule in TABLES[n])
+        self.rules = self.special + TABLES["common"]
+        self.greek = "el" in names
+        self.known: dict[str, bool] = {}
+
+    def plain(self, word: str) -> bool:
+        """Whether no rule of a language concerns a full stop after ``word`` (of four letters on: one-word rules only)."""
+        if word not in self.known:
+            if len(self.known) > _MOST_KNOWN:
+                self.known.clear()
+            self.known[word] = not any(r.before.search(f" {word}.") for r in self.special if not r.breaks)
+        return self.known[word]
+
+    def decides(self, text: str, start: int, at: int) -> bool:
+        """The first rule that matches decides; none means no break. Text in capitals is read as small letters."""
+        before = text[max(start, at - _BEFORE) : at]
+        if before[-1:] == "." and at < len(text) and before[-2:-1].isalpha():
+            word = _TAIL.search(before[:-1])[0]
+            if len(word) >= 4 and len(word) < len(before) - 1 and self.plain(word):
+                return True
+        last, following = before[-12:], text[at : at + 12]
+        if last.isupper() and following.isupper() and sum(map(str.isalpha, last)) > 3 and sum(map(str.isalpha, following)) > 1:
+            text, at, before = text[at : at + 40].lower(), 0, before.lower()
+        for rule in self.rules:
+            if rule.before.search(before) and rule.after.match(text, at):
+                return rule.breaks
+        return False
+
 
+@cache
+def _cascade(names: tuple[str, ...]) -> Cascade:
+    return Cascade(names)
 
-def tables_for(block: str, lang: str | None) -> tuple[tuple[Rule, ...], ...]:
-    """The cascade of rule tables for one block; ``lang`` is the document's label."""
+
+def cascade_for(block: str, lang: str | None) -> Cascade:
+    """The cascade for one block: the tables of its script; among the Latin ones the document's label comes first."""
+    if not block.isascii() and _NOT_LATIN.search(block):
+        for pattern, tables in SCRIPTS:
+            if pattern.search(block):
+                return _cascade((*tables, *LATIN))
     label = (lang or "").strip().lower()[:2]
-    for _, pattern, tables in SCRIPTS:
-        if pattern.search(block):
-            return tuple(TABLES[t] for t in (*tables, *LATIN, "common"))
-    votes = {name: len(p.findall(block)) for name, p in STOPWORDS.items()}
-    first = max(LATIN, key=lambda n: (votes[n], n == label))
-    order = [first, *(n for n in (label, *LATIN) if n in LATIN and n != first)]
-    return tuple(TABLES[t] for t in (*dict.fromkeys(order), "common"))
-
-
-def _decide(text: str, start: int, at: int, cascade: tuple[tuple[Rule, ...], ...]) -> bool:
-    before = text[max(start, at - _BEFORE) : at]
-    for table in cascade:
-        for rule in table:
-            if rule.before.search(before) and rule.after.match(text, at):
-                return rule.breaks
-    return False
+    return _cascade(tuple(dict.fromkeys((label, *LATIN) if label in LATIN else LATIN)))
 
 
 def prose_ends(text: str, lang: str | None) -> list[int]:
     """Offsets behind the sentences of one block of prose."""
-    cascade = tables_for(text, lang)
-    spans = [m.span() for m in _QUOTED.finditer(text)]
-    thai = "฀" <= max(text) and _THAI_GAP.search(text)
-    ends, start, s, n = [], 0, 0, len(text)
-    marks = [(m.start(), m.end()) for m in _MARK.finditer(text)]
-    if thai:
+    cascade = cascade_for(text, lang)
+    spans = [m.span() for m in _QUOTED.finditer(text)] if _OPENER.search(text) else []
+    marks = [m.span() for m in _MARK.finditer(text)]
+    if not text.isascii():
         marks = sorted([*marks, *((m.start(), m.start()) for m in _THAI_GAP.finditer(text))])
+    ends, start, s = [], 0, 0
     for a, b in marks:
         while s < len(spans) and spans[s][1] <= a:
             s += 1
         if s < len(spans) and spans[s][0] < a:
             opened, closed = spans[s]
-            if b < closed:
+            if b < closed or text[opened] in "([（【" and text[start:opened].strip():
                 continue
-            if text[opened] in "([（【" and text[start:opened].strip():
-                continue
-        if a == b:
-            ends.append(b)
-            start = b
-            continue
-        if b < n and not text[b].isspace() and text[b - 1] not in _SOLID and not _SOLID.intersection(text[a:b]):
-            continue
-        if _decide(text, start, b, cascade):
+        if a == b or cascade.decides(text, start, b):
             ends.append(b)
             start = b
     return ends
