@@ -2,7 +2,8 @@
 
 Distinct non-null foreign keys are anti-joined with the parents' keys; the parents' states are folded to one row per
 key (first load, deleted intervals); both are joined back to the referring rows. A key may be hot on the referring
-side, so that join is salted; the parent side holds one row per key.
+side: keys are counted with their earliest use, those with more than a thousandth of all references (at most a thousand
+keys, so their list is small by proof) are salted in that join, the others are not multiplied.
 
 Defined results: null and blank references give no row; ids are equal apart from letter case and surrounding white
 space; repeated referring rows count once, at their earliest load (ties: the smallest references); parent rows with
@@ -15,13 +16,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from depweft.functions.text import fold_key, strip_space
-from depweft.runtime import replicated, salted
+from depweft.runtime import cut
 
 SALTS = 16
+#: A key is hot with more than this share of all references, and more rows than HOT_ROWS.
+HOT_SHARE = 0.001
+HOT_ROWS = 20_000
 
 
 def first_deliveries(rows: DataFrame, row_id: str, loaded_at: str, fields: list[str]) -> DataFrame:
@@ -70,6 +74,15 @@ def parent_states(parents: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def _one_of(keys: list[Row]) -> Column:
+    """Whether a row's (field, key) is in a short list."""
+    by_field: dict[str, list[str]] = {}
+    for k in keys:
+        by_field.setdefault(k["field"], []).append(k["__key"])
+    tests = [(F.col("field") == f) & F.col("__key").isin(v) for f, v in sorted(by_field.items())]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def orphan_references(
     rows: DataFrame, parents: dict[str, DataFrame], row_id: str = "id", loaded_at: str = "loaded_at", salts: int = SALTS
 ) -> DataFrame:
@@ -80,10 +93,13 @@ def orphan_references(
     row up to the reference is deleted).
     """
     fields = list(parents)
-    first = first_deliveries(rows, row_id, loaded_at, fields)
+    first = cut(first_deliveries(rows, row_id, loaded_at, fields))
     refs = references(first, fields)
     states = parent_states(parents)
-    earliest = refs.groupBy("field", "__key").agg(F.min("__loaded").alias("__min_loaded"))
+    earliest = cut(refs.groupBy("field", "__key").agg(F.min("__loaded").alias("__min_loaded"), F.count(F.lit(1)).alias("__n")))
+    total = earliest.agg(F.sum("__n")).first()[0] or 0
+    hot_keys = earliest.filter(F.col("__n") > max(HOT_ROWS, HOT_SHARE * total)).select("field", "__key").collect()
+    hot = _one_of(hot_keys)
     missing = earliest.join(states, ["field", "__key"], "left_anti").select(
         "field", "__key", F.lit(None).cast("timestamp").alias("__first"),
         F.lit(None).cast("array<struct<a:timestamp,b:timestamp>>").alias("__deleted"), F.lit(True).alias("__missing"),
@@ -100,9 +116,11 @@ def orphan_references(
         .when(F.col("__first") > at, "later")
         .when(F.exists("__deleted", lambda i: (i["a"] <= at) & (i["b"].isNull() | (i["b"] > at))), "deleted")
     )
+    salt = F.when(hot, F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return (
-        salted(refs, salts, "__id")
-        .join(replicated(problem, salts), ["field", "__key", "__salt"])
+        refs.withColumn("__salt", salt)
+        .join(problem.withColumn("__salt", F.explode(copies)), ["field", "__key", "__salt"])
         .withColumn("status", status)
         .filter(F.col("status").isNotNull())
         .select("field", F.col("__id").alias("ref_id"), F.col("__key").alias("ref_key"), "status", at.alias("loaded_at"))
