@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweft.functions.text import one_space
-from depweft.runtime import broadcast_if_small
+from depweft.runtime import broadcast_if_small, cut
 
 CERTAIN = 0.95
 ROUNDS = 50
@@ -245,7 +245,7 @@ def normalised(values: DataFrame, spaces: DataFrame) -> DataFrame:
     """
     read = read_values(values, spaces)
     several = F.col("fmt") == "slashed"
-    chosen = format_posteriors(read.filter(several)).select("field", "spaceid", "sig", "choice")
+    chosen = cut(format_posteriors(read.filter(several)).select("field", "spaceid", "sig", "choice"))
     chosen = broadcast_if_small(chosen)
     out = read.join(chosen.withColumnRenamed("spaceid", "__space"), [
         read["field"] == chosen["field"], read["spaceid"].eqNullSafe(F.col("__space")), read["sig"] == chosen["sig"]
