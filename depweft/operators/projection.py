@@ -13,8 +13,8 @@ def deployables(spark: SparkSession, d: str) -> DataFrame:
     """``id, repo_id, name, kind``: one per supplier; the repository is region:nation/supplier."""
     supplier, nation, region = (table(spark, d, t) for t in ("supplier", "nation", "region"))
     return (
-        supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"),
             F.concat(F.lower("r_name"), F.lit(":"), F.lower("n_name"), F.lit("/"), F.col("s_name")).alias("repo_id"),

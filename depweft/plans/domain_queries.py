@@ -194,10 +194,10 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "f15_secrets",
     """SELECT DISTINCT name, CASE WHEN regexp_matches(lower(name), 'password|secret|token|apikey|api_key|connectionstring') THEN '[REDACTED]'
-      ELSE replace(replace(value, 'stable', '[REDACTED]'), 'Debug', '[REDACTED]') END AS shown FROM variables WHERE name IS NOT NULL""",
+      ELSE replace(replace(value, 'stable', '[REDACTED]'), 'Debug', '[REDACTED]') END AS shown FROM variables WHERE name IS NOT NULL AND value IS NOT NULL""",
 )
 def secrets(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "variables").filter(F.col("name").isNotNull())
+    v = table(spark, d, "variables").filter(F.col("name").isNotNull() & F.col("value").isNotNull())
     return v.select("name", T.redact_secrets(F.col("name"), F.col("value"), F.array(F.lit("stable"), F.lit("Debug"))).alias("shown")).distinct()
 
 
