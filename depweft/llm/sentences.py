@@ -107,7 +107,7 @@ TABLES: dict[str, tuple[Rule, ...]] = {
     "common": _rules(
         (False, r"(?:…+|\.{3,})" + _CLOSE, _LOW),
         (False, r"[.!?…]" + _CLOSED, _LOW),
-        (False, r"(?:^|[\s(«„“\"\[])[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]\.", r"\s+[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]"),
+        (False, r"(?:^|[\s(«„“\"\[])(?-i:[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω])\.", r"\s+[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]"),
         (False, r"[;;]", r""),
         (True, r"[.!?…。！？｡؟۔।॥]" + _CLOSE, r"\s|$"),
         (True, r"[。！？｡؟।॥]" + _CLOSE, r""),
@@ -141,9 +141,10 @@ _QUOTED = re.compile(
     r"„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|‹[^‹›]*›|「[^「」]*」|『[^『』]*』|《[^《》]*》|(?<!\w)\"[^\"]*\"(?!\w)"
     r"|\((?:[^()]|\([^()]*\))*\)|（(?:[^（）]|（[^（）]*）)*）|\[[^\[\]]*\]|【[^【】]*】"
 )
-_MARK = re.compile(
-    r"[.!?…;;]*[。！？｡؟۔।॥][.!?…。！？｡؟۔।॥]*" + _CLOSE + r"|[.!?…;;]+" + _CLOSE + r"(?=\s|$)"
-)
+_SOLID = "。！？｡؟।॥"
+#: Runs of marks: with white space behind them, or in scripts with marks of their own anywhere. Runs are taken whole.
+_MARK = re.compile(r"[.!?…;](?<![.!?…;][.!?…;])[.!?…;]*+" + _CLOSE + r"+(?=\s|\Z)")
+_ANY_MARK = re.compile(r"[.!?…;;۔。！？｡؟।॥](?<![.!?…;;۔。！？｡؟।॥]{2})[.!?…;;۔。！？｡؟।॥]*+" + _CLOSE + "+")
 _THAI_GAP = re.compile(r"(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])\s+(?=[\u0e01-\u0e3a\u0e40-\u0e4e])")
 _TAIL = re.compile(r"[^\W\d_]+\Z")
 _BEFORE = 28
@@ -161,7 +162,7 @@ class Cascade:
     def __init__(self, names: tuple[str, ...]) -> None:
         self.special = tuple(rule for n in names for rule in TABLES[n])
         self.rules = self.special + TABLES["common"]
-        self.greek = "el" in names
+        self.latin = names[0] in LATIN
         self.known: dict[str, bool] = {}
 
     def plain(self, word: str) -> bool:
@@ -207,8 +208,10 @@ def prose_ends(text: str, lang: str | None) -> list[int]:
     """Offsets behind the sentences of one block of prose."""
     cascade = cascade_for(text, lang)
     spans = [m.span() for m in _QUOTED.finditer(text)] if _OPENER.search(text) else []
-    marks = [m.span() for m in _MARK.finditer(text)]
-    if not text.isascii():
+    if cascade.latin:
+        marks = [m.span() for m in _MARK.finditer(text)]
+    else:
+        marks = [m.span() for m in _ANY_MARK.finditer(text) if m.end() == len(text) or text[m.end()].isspace() or any(c in _SOLID for c in m[0])]
         marks = sorted([*marks, *((m.start(), m.start()) for m in _THAI_GAP.finditer(text))])
     ends, start, s = [], 0, 0
     for a, b in marks:
