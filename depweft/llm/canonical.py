@@ -253,7 +253,7 @@ def _shards(reference: DataFrame) -> Iterator[list[tuple[int, str, list[str]]]]:
     rows = reference.select(
         F.col("canon_id").cast("bigint").alias("i"), F.col("canon_name").alias("n"), F.col("aliases").alias("a")
     ).filter(F.col("i").isNotNull() & F.col("n").isNotNull())
-    n = 1 if small(rows, SHARD_ENTRIES) else -(-rows.count() // (SHARD_ENTRIES // 2))
+    n = 1 if small(rows, SHARD_ENTRIES) else max(1, -(-rows.count() // (SHARD_ENTRIES // 2)))
     for s in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == s)
         yield sorted((r["i"], r["n"], [x for x in (r["a"] or []) if x]) for r in part.collect())
@@ -302,9 +302,9 @@ def map_names(names: DataFrame, reference: DataFrame) -> DataFrame:
         union = reduce(DataFrame.unionByName, found)
         merged = union.groupBy("name").agg(
             F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "lo"))).alias("a"),
-            F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", -F.col("hi")))).alias("b"),
+            F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", (-F.col("hi")).alias("below")))).alias("b"),
         )
-        best = merged.select("name", F.col("a.dist").alias("dist"), F.col("a.lo").alias("lo"), (-F.col("b.col2")).alias("hi"))
+        best = merged.select("name", F.col("a.dist").alias("dist"), F.col("a.lo").alias("lo"), (-F.col("b.below")).alias("hi"))
     else:
         best = found[0]
     matched = F.col("lo") == F.col("hi")
