@@ -101,7 +101,7 @@ def redact_secrets(key: Column, value: Column, secrets: Column) -> Column:
 
 def residency_trigger(goal: Column, key: Column, value: Column) -> Column:
     """The first reason why an item must not leave: e-mail, phone or a personal field; null if there is none."""
-    words = F.regexp_extract_all(F.lower(goal), F.lit(r"([a-z]+)"), 1)
+    words = F.regexp_extract_all(F.lower(goal), F.lit(r"(\w+)"), 1)
     fields = F.array(*map(F.lit, PERSONAL_FIELDS))
     any_of = lambda p: goal.rlike(p) | F.coalesce(key.rlike(p), F.lit(False)) | F.coalesce(value.rlike(p), F.lit(False))
     return (

@@ -112,3 +112,48 @@ def queries() -> dict:
         "p5_report": p5_report,
         "p5_mixture": p5_mixture,
     }
+
+
+_SPACES = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _trim(c: str) -> str:
+    return f"regexp_replace({c}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+
+
+_ORPHANS = f"""WITH k AS (SELECT CASE kind WHEN 'project' THEN 'projectid' ELSE 'releaseid' END AS field, nullif(lower({_trim("id")}), '') AS key, loaded_at AS t0, coalesce(isdeleted, false) AS gone
+    FROM key_register WHERE kind IN ('project', 'release')
+    UNION ALL SELECT 'environmentid', nullif(lower({_trim("id")}), ''), loaded_at, coalesce(isdeleted, false) FROM environments),
+  s AS (SELECT field, key, t0, bool_and(gone) AS gone FROM k WHERE key IS NOT NULL GROUP BY ALL),
+  f AS (SELECT {_trim("id")} AS id, loaded_at, nullif(lower({_trim("projectid")}), '') AS p, nullif(lower({_trim("releaseid")}), '') AS r, nullif(lower({_trim("environmentid")}), '') AS e,
+    row_number() OVER (PARTITION BY {_trim("id")} ORDER BY loaded_at, p NULLS FIRST, r NULLS FIRST, e NULLS FIRST) AS n FROM deployments WHERE id IS NOT NULL AND loaded_at IS NOT NULL),
+  d AS (SELECT 'projectid' AS field, id, loaded_at AS t0, p AS key FROM f WHERE n = 1 UNION ALL SELECT 'releaseid', id, loaded_at, r FROM f WHERE n = 1 UNION ALL SELECT 'environmentid', id, loaded_at, e FROM f WHERE n = 1),
+  j AS (SELECT d.field, d.id, d.key, d.t0, count(s.key) AS states, min(s.t0) AS first_at, arg_max(s.gone, s.t0) FILTER (s.t0 <= d.t0) AS gone
+    FROM d LEFT JOIN s ON d.field = s.field AND d.key = s.key WHERE d.key IS NOT NULL GROUP BY ALL),
+  o AS (SELECT field, id, key, t0, CASE WHEN states = 0 THEN 'missing' WHEN first_at > t0 THEN 'later' WHEN gone THEN 'deleted' END AS status FROM j)"""
+
+_READ = """CASE kind
+    WHEN 'text' THEN nullif(v, '')
+    WHEN 'bool' THEN CASE WHEN lower(v) IN ('true', 'yes', 'y', 'on', '1', 'enabled', 't') THEN 'true' WHEN lower(v) IN ('false', 'no', 'n', 'off', '0', 'disabled', 'f') THEN 'false' END
+    WHEN 'int' THEN CASE WHEN regexp_matches(i, '^[+-]?[0-9]+(\\.0*)?$') THEN CAST(TRY_CAST(regexp_replace(i, '\\.0*$', '') AS BIGINT) AS VARCHAR) END
+    WHEN 'decimal' THEN CASE WHEN regexp_matches(m, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]{1,2})?$') THEN CAST(CAST(round(TRY_CAST(m AS DECIMAL(38,12)), 2) AS DECIMAL(38,2)) AS VARCHAR) END
+    ELSE strftime(coalesce(TRY_CAST(regexp_extract(v, '^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ][0-9].*)?$', 1) AS DATE), CAST(try_strptime(v, ['%Y/%m/%d', '%d.%m.%Y', '%d %b %Y']) AS DATE),
+      CASE WHEN length(v) = 8 THEN CAST(try_strptime(v, '%Y%m%d') AS DATE) END), '%Y-%m-%d') END"""
+
+_CELLS = f"""WITH x AS (SELECT 'parameters' AS tbl, buildtypeid AS entity_id, '' AS env_id, name, value, version, loaded_at, param_row AS n FROM parameters
+    UNION ALL SELECT 'variables', ownerid, unnest(CASE WHEN len(list_filter(scope.environment, lambda e: e IS NOT NULL)) > 0 THEN list_distinct(scope.environment) ELSE [''] END), name, value, version, loaded_at, var_row FROM variables),
+  c AS (SELECT attr, kind, used_in, lower(regexp_replace(attr, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS k FROM param_catalog),
+  w AS (SELECT tbl, entity_id, env_id, attr, kind, value, row_number() OVER (PARTITION BY tbl, entity_id, env_id, attr ORDER BY version DESC NULLS LAST, loaded_at DESC NULLS LAST, n DESC, value DESC NULLS LAST) AS r
+    FROM x JOIN c ON used_in = tbl AND lower(regexp_replace(name, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) = k WHERE entity_id IS NOT NULL),
+  t AS (SELECT *, {_trim("value")} AS v FROM w WHERE r = 1),
+  p AS (SELECT *, regexp_replace(regexp_replace(v, '([0-9])(?:[,_]|{_SPACES})([0-9])', '\\1\\2', 'g'), '([0-9])(?:[,_]|{_SPACES})([0-9])', '\\1\\2', 'g') AS i, replace(v, ',', '.') AS m FROM t)
+  SELECT tbl, entity_id, env_id, attr, {_READ} AS val FROM p"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p2_found": f"{_ORPHANS} SELECT field, id AS dep_id, status, strftime(t0, '%Y-%m') AS load_month FROM o WHERE status IS NOT NULL",
+        "p2_report": f"""{_ORPHANS} SELECT 'deployments' AS tbl, field, strftime(t0, '%Y-%m') AS load_month, status, count(*) AS n_refs, count(DISTINCT key) AS n_keys
+          FROM o WHERE status IS NOT NULL GROUP BY ALL""",
+        "p4_found": f"SELECT * FROM ({_CELLS}) WHERE val IS NOT NULL",
+    }

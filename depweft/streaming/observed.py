@@ -14,15 +14,20 @@ from pyspark.sql.streaming import StreamingQuery
 KEY = ["from_id", "to_id", "env"]
 
 
-def windowed_counts(observed: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
+def _watermarked(observed: DataFrame, late: str | None) -> DataFrame:
+    """With a watermark, unless the frame has one already (``late`` is None)."""
+    return observed.withWatermark("at", late) if late else observed
+
+
+def windowed_counts(observed: DataFrame, size: str = "1 hour", slide: str | None = None, late: str | None = "2 hours") -> DataFrame:
     """Samples per edge and tumbling or sliding window; rows later than ``late`` are left out."""
     w = F.window("at", size, slide) if slide else F.window("at", size)
-    counted = observed.withWatermark("at", late).groupBy(w.alias("w"), *KEY).agg(F.count(F.lit(1)).alias("sample_count"))
+    counted = _watermarked(observed, late).groupBy(w.alias("w"), *KEY).agg(F.count(F.lit(1)).alias("sample_count"))
     return counted.select(*KEY, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sample_count")
 
 
-def session_counts(observed: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    counted = observed.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), *KEY).agg(F.count(F.lit(1)).alias("sample_count"))
+def session_counts(observed: DataFrame, gap: str = "30 minutes", late: str | None = "2 hours") -> DataFrame:
+    counted = _watermarked(observed, late).groupBy(F.session_window("at", gap).alias("w"), *KEY).agg(F.count(F.lit(1)).alias("sample_count"))
     return counted.select(*KEY, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sample_count")
 
 
