@@ -198,3 +198,22 @@ def unresolved(tokens: DataFrame, resolved: DataFrame, hits: DataFrame) -> DataF
     state = state.join(hits.select("ref_id", F.lit(True).alias("hit")).distinct(), "ref_id", "left")
     reason = F.when(F.col("value") == "<secret>", "secret").when(~F.coalesce("resolved", F.lit(False)), "no-value").when(F.col("hit").isNull(), "no-match")
     return state.select("ref_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def machine_identities(machines: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Identities that deploy targets and tenants give: their address (deploy), name (network) and tenant name (logical).
+
+    ``machines``: repo, name, uri, envs (array). ``tenants``: repo, name. Blank values give none.
+    """
+    each = machines.select("repo", "name", "uri", F.explode_outer("envs").alias("env"))
+    kinds = F.array(F.struct(F.lit("deploy").alias("identity_class"), F.col("uri").alias("value")), F.struct(F.lit("network").alias("identity_class"), F.col("name").alias("value")))
+    targets = each.select("repo", F.explode(kinds).alias("k"), "env").select("repo", "k.identity_class", "k.value", "env")
+    logical = tenants.select("repo", F.lit("logical").alias("identity_class"), F.col("name").alias("value"), F.lit(None).cast("string").alias("env"))
+    return targets.unionByName(logical).filter(F.trim("value") != "").distinct()
+
+
+def value_sets(facts: DataFrame) -> DataFrame:
+    """All values of each (repo, key) with where they come from, highest layer first, repeats once."""
+    entry = F.struct((-F.col("layer")).alias("order"), "value", "source", "condition")
+    sets = facts.groupBy("repo", "key").agg(F.array_sort(F.collect_set(entry)).alias("entries"))
+    return sets.select("repo", "key", F.transform("entries", lambda e: F.struct(e["value"].alias("value"), e["source"].alias("source"), e["condition"].alias("condition"), (-e["order"]).alias("layer"))).alias("entries"))

@@ -91,3 +91,20 @@ def traces(dispositions: DataFrame, responses: DataFrame) -> DataFrame:
     """Reasoning traces with an id made from their content."""
     joined = dispositions.join(responses.select("cache_key", "reasoning"), "cache_key")
     return joined.select(F.sha2(F.concat_ws("|", "cache_key", "ref_id", "reasoning"), 256).alias("trace_id"), "ref_id", "cache_key", "disposition", "reasoning")
+
+
+#: What each kind of item asks for, as the fields of a JSON answer. Fixed values.
+ANSWER_FIELDS = {
+    "ambiguous-match": ("decision", "candidate_id", "reasoning"),
+    "unresolved-ref": ("resolved_value", "reasoning"),
+    "identity-class": ("identity_class", "reasoning"),
+}
+
+
+def prompt(kind: Column, goal: Column, candidates: Column, locators: Column) -> Column:
+    """The request of one item: what is asked, what may be chosen from, the evidence, and the form of the answer."""
+    form = F.lit("")
+    for name, fields in ANSWER_FIELDS.items():
+        form = F.when(kind == name, F.lit(", ".join(fields))).otherwise(form)
+    listed = lambda label, c: F.concat(F.lit(f"{label}:"), F.array_join(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit("\n- "), x)), ""))
+    return F.concat_ws("\n", F.concat(F.lit("Task: "), goal), listed("Choices", candidates), listed("Evidence", F.array_sort(locators)), F.concat(F.lit("Answer with a JSON object of: "), form))

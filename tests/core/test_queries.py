@@ -6,9 +6,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from depweft.plans import data_quality, domain_queries, graph_queries
+from depweft.plans import data_quality, domain_queries, graph_queries, inventory_queries
 
-MODULES = (data_quality, graph_queries, domain_queries)
+MODULES = (data_quality, graph_queries, domain_queries, inventory_queries)
 QUERIES = {n: q for m in MODULES for n, q in m.queries().items()}
 SQL = {n: s for m in MODULES for n, s in m.oracle_sql().items()}
 
