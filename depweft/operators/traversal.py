@@ -29,9 +29,9 @@ def scoped(edges: DataFrame, env: str | None, min_confidence: str = "low") -> Da
 def breadth_first(pairs: DataFrame, seeds: DataFrame, max_hops: int | None, target: str | None = None) -> DataFrame:
     """Every node reached from ``seeds`` (``node``) over ``pairs`` (``src, dst``): ``node, hop, path``.
 
-    ``path`` starts with the seed. Without ``max_hops`` it runs until nothing new is found or ``target`` is reached.
+    ``pairs`` is read at every level, so it should be a stored table. ``path`` starts with the seed. Without ``max_hops`` it runs until nothing new is found or ``target`` is reached.
     """
-    pairs = cut(pairs.select("src", "dst").distinct())
+    pairs = pairs.select("src", "dst")
     level = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), F.array("node").alias("path")))
     levels = [level]
     hop = 0
@@ -63,13 +63,14 @@ def find_relevant(nodes: DataFrame, edges: DataFrame, task: str, env: str, max_h
 
     A node's own deployed reference counts before that of the edge that led to it.
     """
+    edges = cut(edges.filter(F.col("env") == env))
     usable = scoped(edges, env, min_confidence)
     word = F.lower(F.lit(task))
     seeds = nodes.filter(F.lower("name").contains(word) | F.lower("id").contains(word)).select(F.col("id").alias("node"))
     reached = breadth_first(usable.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), seeds, max_hops)
     inbound = usable.select(F.col("from_id").alias("via"), F.col("to_id").alias("node"), F.col("deployed_ref").alias("in_ref"))
     out = reached.withColumn("via", F.try_element_at("path", F.lit(-2))).join(inbound, ["via", "node"], "left")
-    out = out.join(_own_refs(edges.filter(F.col("env") == env)), "node", "left").join(nodes.select(F.col("id").alias("node"), "repo_id"), "node", "left")
+    out = out.join(_own_refs(edges), "node", "left").join(nodes.select(F.col("id").alias("node"), "repo_id"), "node", "left")
     return out.select(
         F.col("node").alias("id"), "repo_id", "hop", F.array_join("path", " > ").alias("path"),
         F.coalesce("own_ref", "in_ref").alias("deployed_ref"), F.lit("high").alias("confidence"), F.lit("declared").alias("provenance"),
@@ -78,7 +79,7 @@ def find_relevant(nodes: DataFrame, edges: DataFrame, task: str, env: str, max_h
 
 def impact(edges: DataFrame, target: str, env: str, min_confidence: str = "low", max_hops: int = MAX_IMPACT_HOPS) -> DataFrame:
     """Everything that depends on ``target``: ``id, hop, path, confidence, provenance, deployed_ref``; paths run from the nearest dependent."""
-    usable = scoped(edges, env, min_confidence)
+    usable = cut(scoped(edges, env, min_confidence))
     seeds = edges.sparkSession.createDataFrame([(target,)], "node string")
     reached = breadth_first(usable.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")), seeds, max_hops)
     rows = reached.filter(F.col("hop") > 0).withColumn("next", F.try_element_at("path", F.lit(-2)))
@@ -90,7 +91,7 @@ def impact(edges: DataFrame, target: str, env: str, min_confidence: str = "low",
 
 def shortest_path(edges: DataFrame, from_id: str, to_id: str, env: str | None) -> DataFrame:
     """The edges of a shortest path in order: ``step, from_id, to_id, confidence, provenance, deployed_ref``; from = to has none."""
-    usable = edges if env is None else edges.filter(F.col("env") == env)
+    usable = cut(edges if env is None else edges.filter(F.col("env") == env))
     seeds = edges.sparkSession.createDataFrame([(from_id,)], "node string")
     reached = breadth_first(usable.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), seeds, None, target=to_id)
     path = reached.filter((F.col("node") == to_id) & (F.col("hop") > 0))
@@ -103,7 +104,7 @@ def shortest_path(edges: DataFrame, from_id: str, to_id: str, env: str | None) -
 
 def reachable_build(edges: DataFrame, anchor: str, env: str) -> DataFrame:
     """Edges of all repositories that a build from ``anchor`` visits: only edges with ``expands`` lead on, all count."""
-    usable = edges.filter(F.col("env") == env)
+    usable = cut(edges.filter(F.col("env") == env))
     seeds = edges.sparkSession.createDataFrame([(anchor,)], "node string")
     walk = usable.filter(F.col("expands")).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
     visited = breadth_first(walk, seeds, None)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depweft.functions.ranks import least_trusted, pairwise_weakest, weakest
 from depweft.operators import edges as E
 from depweft.operators import projection, reconcile, traversal
+from depweft.runtime import cut
 from depweft.sinks.store import inserted, upserted
 
 RANK_SQL = "CASE {c} WHEN 'very-low' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'very-high' THEN 4 ELSE 1 END"
@@ -54,7 +55,7 @@ def _impact_seed(edges: DataFrame) -> DataFrame:
 
 def impact(spark: SparkSession, d: str) -> DataFrame:
     """Everything that depends, over at most five hops, on the service with most dependents in prod."""
-    edges = projection.edges(spark, d)
+    edges = cut(projection.edges(spark, d))
     top = _impact_seed(edges).collect()
     return traversal.impact(edges, top[0]["to_id"] if top else "", "prod")
 
@@ -77,7 +78,7 @@ def path_any_env(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nation_reach(spark: SparkSession, d: str) -> DataFrame:
-    edges = projection.nation_edges(spark, d).filter(F.col("env") == "prod")
+    edges = cut(projection.nation_edges(spark, d).filter(F.col("env") == "prod"))
     seeds = spark.createDataFrame([(NODE,)], "node string")
     reached = traversal.breadth_first(edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), seeds, 3)
     return reached.select(F.col("node").alias("id"), "hop", F.array_join("path", " > ").alias("path"))

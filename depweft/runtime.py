@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +15,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, so that Python workers need no shared installation."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="depweft-")) / "depweft.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,10 +56,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts lineage through a reliable checkpoint, which survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+_folders: dict[str, str] = {}
+
+
+def _scratch(spark: SparkSession) -> str:
+    """This application's folder for written tables below the shared one; removed when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001, S110 - the session may be gone already
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table written to the shared folder and read again.
+
+    It survives the loss of executors, is computed once (a checkpoint of the same rows computes them twice), and the
+    planner knows its size.
+    """
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -50,11 +99,6 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
-def salted(df: DataFrame, salts: int, *key: str) -> DataFrame:
-    """Adds ``__salt``, spreading rows that share a join key over ``salts`` parts by a hash of ``key``."""
-    return df.withColumn("__salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
-
-
 def replicated(df: DataFrame, salts: int) -> DataFrame:
     """The other side of a salted join: every row once per salt."""
     return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
