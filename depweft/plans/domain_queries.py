@@ -223,7 +223,7 @@ def log_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "p12_residency",
+    "pred12_residency",
     """SELECT coalesce(CASE WHEN regexp_matches(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}') THEN 'email'
       WHEN regexp_matches(text, '\\b(\\+?1[-.\\s]?)?\\(?\\d{3}\\)?[-.\\s]?\\d{3}[-.\\s]?\\d{4}\\b') THEN 'phone' END, 'none') AS reason, count(*) AS n
       FROM documents WHERE text IS NOT NULL GROUP BY ALL""",
@@ -544,7 +544,7 @@ def _ci_files(spark: SparkSession, d: str) -> DataFrame:
     return _supplier_files(spark, d, path, step)
 
 
-@query("p9_intrinsic", "SELECT 'r' || s_suppkey AS repo, CASE s_suppkey % 4 WHEN 0 THEN 'github-actions' WHEN 1 THEN 'jenkins' ELSE 'bitbucket-pipelines' END AS provider FROM supplier WHERE s_suppkey % 4 < 3")
+@query("pred9_intrinsic", "SELECT 'r' || s_suppkey AS repo, CASE s_suppkey % 4 WHEN 0 THEN 'github-actions' WHEN 1 THEN 'jenkins' ELSE 'bitbucket-pipelines' END AS provider FROM supplier WHERE s_suppkey % 4 < 3")
 def intrinsic(spark: SparkSession, d: str) -> DataFrame:
     return attribution.intrinsic(_ci_files(spark, d))
 
@@ -609,7 +609,7 @@ def bindings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "p10_deploy_hints",
+    "pred10_deploy_hints",
     """SELECT var_row, name, value FROM (SELECT DISTINCT var_row, name, value, coalesce(issensitive, false) AS is_secret FROM variables) WHERE value IS NOT NULL AND NOT is_secret
       AND len(list_intersect(regexp_split_to_array(lower(name), '[._ ]+'), ['host', 'url', 'endpoint', 'address', 'target', 'server'])) > 0""",
 )
@@ -658,7 +658,7 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "p13_budget",
+    "pred13_budget",
     """SELECT l_orderkey, count(*) <= 3 AS within FROM lineitem GROUP BY l_orderkey""",
 )
 def budget(spark: SparkSession, d: str) -> DataFrame:

@@ -234,7 +234,7 @@ def queries() -> dict:
         "j13_resolve_repos": resolve_repos, "j14_three_way": three_way, "j15_env_diff": env_diff, "j15_env_diff_all": env_diff_all,
         "j21_latest_deployed": latest_deployed, "a1_weakest_links": weakest_links, "a3_pairwise": pairwise_confidence,
         "a5_observed_dedupe": observed_dedupe, "a10_edge_summary": edge_summary, "a10_three_way_counts": three_way_counts,
-        "a15_capability_confidence": capability_confidence, "p2c_confident_edges": confident_edges, "t1_edges_sorted": edge_sorted,
+        "a15_capability_confidence": capability_confidence, "pred2_confident_edges": confident_edges, "t1_edges_sorted": edge_sorted,
         "set_union": edges_union, "set_intersect": edges_intersect, "set_except": edges_except, "g9_explain": edge_explain,
         "k2_node_upsert": node_upsert, "k3_edge_insert": edge_insert,
     }
@@ -337,7 +337,7 @@ def oracle_sql() -> dict[str, str]:
         "a15_capability_confidence": f"""WITH {OBSERVATION}, c AS (SELECT 's' || src_key AS from_id, 's' || dst_key AS to_id, env,
             CASE WHEN flag = 'A' THEN 'apm' ELSE 'logs' END AS capability, count(*) AS sample_count FROM observation GROUP BY ALL)
           SELECT *, CASE WHEN capability = 'apm' OR sample_count > 1 THEN 'high' ELSE 'medium' END AS confidence FROM c""",
-        "p2c_confident_edges": f"WITH {EDGE} SELECT * FROM edge WHERE env = 'prod' AND {conf} >= 2",
+        "pred2_confident_edges": f"WITH {EDGE} SELECT * FROM edge WHERE env = 'prod' AND {conf} >= 2",
         "t1_edges_sorted": f"WITH {EDGE} SELECT * FROM edge ORDER BY from_id, to_id, env",
         "set_union": f"WITH {EDGE} {_SETS.format(t='edge', e='prod')} UNION {_SETS.format(t='edge', e='staging')}",
         "set_intersect": f"WITH {NATION_EDGE} {_SETS.format(t='nedge', e='prod')} INTERSECT {_SETS.format(t='nedge', e='staging')}",

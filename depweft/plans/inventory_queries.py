@@ -144,21 +144,21 @@ def report(spark: SparkSession, d: str) -> DataFrame:
     return report_json(_suppliers(spark, d).select(_name("s").alias("id"), F.lit(None).cast("string").alias("gone")))
 
 
-@query("p4_repo_kinds", "SELECT 'r' || s_suppkey AS repo, s_suppkey % 3 = 0 AS markup, s_suppkey % 3 = 1 AS dotnet, s_suppkey % 3 = 2 AS script FROM supplier")
+@query("pred4_repo_kinds", "SELECT 'r' || s_suppkey AS repo, s_suppkey % 3 = 0 AS markup, s_suppkey % 3 = 1 AS dotnet, s_suppkey % 3 = 2 AS script FROM supplier")
 def repo_kinds(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey") % 3
     path = F.when(k == 0, "web/Home.ASPX").when(k == 1, "a/appsettings.dev.json").otherwise("package.json")
     return extract.repo_kinds(_suppliers(spark, d).select(_name("r").alias("repo"), path.alias("path")))
 
 
-@query("p5_static_assets", "SELECT s_suppkey, s_suppkey % 4 = 0 AS static FROM supplier")
+@query("pred5_static_assets", "SELECT s_suppkey, s_suppkey % 4 = 0 AS static FROM supplier")
 def static_assets(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey") % 4
     v = F.when(k == 0, "x/app.JS?v=1").when(k == 1, "{cdn}/app.js").when(k == 2, "https://h.test/api").otherwise("page.html")
     return _suppliers(spark, d).select("s_suppkey", extract.is_static_asset(v).alias("static"))
 
 
-@query("p14_contracts", "SELECT s_suppkey, s_suppkey % 4 = 0 OR s_suppkey % 4 = 3 AS valid, CASE s_suppkey % 4 WHEN 0 THEN 'c' || s_suppkey END AS proposal FROM supplier")
+@query("pred14_contracts", "SELECT s_suppkey, s_suppkey % 4 = 0 OR s_suppkey % 4 = 3 AS valid, CASE s_suppkey % 4 WHEN 0 THEN 'c' || s_suppkey END AS proposal FROM supplier")
 def contracts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey") % 4
     none = F.lit(None).cast("string")
