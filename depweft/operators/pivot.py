@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from depweft.functions.text import SPACE_CLASS, strip_space
 
-BLOCK = 16
+BLOCK = 8
 
 _TRUE = ["true", "yes", "y", "on", "1", "enabled", "t"]
 _FALSE = ["false", "no", "n", "off", "0", "disabled", "f"]
@@ -133,7 +133,7 @@ def filled_cells(wide: DataFrame, entity: list[str], attrs: list[tuple[str, str]
 
 def parameter_rows(parameters: DataFrame) -> DataFrame:
     return parameters.filter(F.col("buildtypeid").isNotNull()).select(
-        F.col("buildtypeid").alias("entity_id"), F.lit("").alias("env_id"), "name", "value", "version", "loaded_at",
+        F.col("buildtypeid").alias("entity_id"), "name", "value", "version", "loaded_at",
         F.col("param_row").alias("row_no"),
     )
 
@@ -150,6 +150,8 @@ def variable_rows(variables: DataFrame) -> DataFrame:
 
 ORDER = ["version", "loaded_at", "row_no"]
 ENTITY = ["entity_id", "env_id"]
+#: Entity columns of each table. A constant column would be folded away and break the shared partitioning.
+ENTITIES = {"parameters": ["entity_id"], "variables": ENTITY}
 
 
 def unmatched_names(rows: DataFrame, attrs: list[tuple[str, str]]) -> DataFrame:

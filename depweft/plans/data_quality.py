@@ -45,14 +45,16 @@ def p3_levels(spark: SparkSession, d: str) -> DataFrame:
 def _wide(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, list[tuple[str, str]]]:
     attrs = pivot.catalogue(table(spark, d, "param_catalog"), name)
     rows = (pivot.parameter_rows if name == "parameters" else pivot.variable_rows)(table(spark, d, name))
-    return pivot.wide_table(rows, pivot.ENTITY, attrs, pivot.ORDER), attrs
+    return pivot.wide_table(rows, pivot.ENTITIES[name], attrs, pivot.ORDER), attrs
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name in ("parameters", "variables"):
         wide, attrs = _wide(spark, d, name)
-        parts.append(pivot.filled_cells(wide, pivot.ENTITY, attrs).select(F.lit(name).alias("tbl"), *pivot.ENTITY, "attr", "val"))
+        cells = pivot.filled_cells(wide, pivot.ENTITIES[name], attrs)
+        cells = cells if "env_id" in cells.columns else cells.withColumn("env_id", F.lit(""))
+        parts.append(cells.select(F.lit(name).alias("tbl"), *pivot.ENTITY, "attr", "val"))
     return parts[0].unionByName(parts[1])
 
 
