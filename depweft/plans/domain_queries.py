@@ -512,8 +512,7 @@ def winning_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter(F.col("l_quantity") >= 45)
-    return li.select(
+    return table(spark, d, "lineitem").select(
         F.concat(F.lit("r"), "l_suppkey").alias("repo"), F.concat(F.lit("k"), F.col("l_partkey") % 20).alias("key"), F.concat(F.lit("v"), "l_partkey").alias("value"),
         F.concat(F.lit("f"), "l_partkey", F.lit(".json")).alias("source"), (1 + F.col("l_linenumber") % 2).cast("int").alias("layer"),
         F.when(F.col("l_returnflag") == "A", "prod.eu").when(F.col("l_returnflag") == "N", "prod").alias("condition"),
