@@ -236,8 +236,7 @@ def value_sets(spark: SparkSession, d: str) -> DataFrame:
 @query("e11_static_values", """SELECT 'r' || l_suppkey AS repo, 'prod' AS env, 'k' || l_linenumber AS name, max_by('v' || l_partkey, (l_orderkey, 'v' || l_partkey)) AS value
   FROM lineitem WHERE l_partkey % 3 <> 0 AND l_quantity >= 45 GROUP BY l_suppkey, l_linenumber""")
 def static_values(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter(F.col("l_quantity") >= 45)
-    refs = li.select(
+    refs = table(spark, d, "lineitem").select(
         F.concat(F.lit("r"), "l_suppkey").alias("repo"), F.lit("prod").alias("env_hint"), F.concat(F.lit("k"), "l_linenumber").alias("name"),
         F.concat(F.when(F.col("l_partkey") % 3 == 0, "{t}").otherwise("v"), "l_partkey").alias("raw_value"), F.col("l_orderkey").alias("ord"),
     )

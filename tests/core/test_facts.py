@@ -64,12 +64,22 @@ def test_value_sets(spark, few):
     assert rows(QUERIES["a14_value_sets"](spark, few).select("repo", "key", "entries")) == sorted(want, key=repr)
 
 
+def test_static_values(spark, few):
+    last = {}
+    for order, number, supplier, part, *_ in LINES:
+        if part % 3:
+            k = f"r{supplier}", "prod", f"k{number}"
+            last[k] = max(last.get(k, (0, "")), (order, f"v{part}"))
+    want = sorted((*k, v) for k, (_, v) in last.items())
+    assert rows(QUERIES["e11_static_values"](spark, few).select("repo", "env", "name", "value")) == want
+
+
 def whole(name):
     """The twin without the cut that it carries."""
     return SQL[name].replace(" WHERE l_quantity >= 45", "").replace(" AND l_quantity >= 45", "")
 
 
-@pytest.mark.parametrize("name", ["a12_winning_facts", "a13_truncated_facts", "j6_facts_first", "a14_value_sets"])
+@pytest.mark.parametrize("name", ["a12_winning_facts", "a13_truncated_facts", "j6_facts_first", "a14_value_sets", "e11_static_values"])
 def test_whole_table(spark, data, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
