@@ -3,8 +3,9 @@
 The reference entries and their written variants stand in a BK-tree under the unrestricted Damerau-Levenshtein distance
 (insertion, deletion, substitution and transposition of neighbours cost 1 each), which is a true metric, so the triangle
 inequality prunes subtrees without losing an entry within the radius. The tree is broadcast; a reference of more than
-``SHARD_ENTRIES`` entries is cut into shards of that size by a hash, each value is looked up in every shard, and the
-shards' winners are merged by distance.
+``SHARD_ENTRIES`` entries is cut into shards of that size by a hash, with synonyms derived once over all of it. Each value
+is looked up in every shard, and the variants that the shards find are merged as one index would: by rank of origin for
+each variant, then by distance, then by the words in order.
 
 A value is first reduced to a key: compatibility forms, letter case, accents, invisible characters and look-alike
 letters are folded; notes in brackets and words such as "env" around the name are dropped; the rest is its letters and
@@ -184,9 +185,11 @@ def _cut_forms(word: str) -> set[str]:
     return forms | {word[:n] for n in range(3 if len(word) > 8 else 4, len(word))}
 
 
-def variants(entries: list[tuple[int, str, list[str]]]) -> dict[str, tuple[int, int, int]]:
-    """Key of every variant: (entry, edits allowed, rank of its origin). Variants of two entries are dropped."""
-    same = _synonyms(entries)
+def _origins(entries: list[tuple[int, str, list[str]]], same: dict) -> dict[str, tuple[int, int, int, int]]:
+    """Key of every variant: (lowest and highest entry of its best origin, edits allowed, rank of that origin).
+
+    The edits allowed depend on the key's length and the rank alone, and do not grow with the rank.
+    """
     found: dict[str, dict[int, set[tuple[int, int]]]] = {}
 
     def put(words: tuple[str, ...], cid: int, rank: int) -> None:
@@ -210,14 +213,19 @@ def variants(entries: list[tuple[int, str, list[str]]]) -> dict[str, tuple[int,
     out = {}
     for key, ranks in found.items():
         best = min(ranks)
-        if len({cid for cid, _ in ranks[best]}) == 1:
-            cid, allowed = max(ranks[best], key=lambda x: x[1])
-            out[key] = (cid, allowed, best)
+        ids = [cid for cid, _ in ranks[best]]
+        out[key] = (min(ids), max(ids), max(allowed for _, allowed in ranks[best]), best)
     return out
 
 
+def variants(entries: list[tuple[int, str, list[str]]]) -> dict[str, tuple[int, int, int]]:
+    """Key of every variant: (entry, edits allowed, rank of its origin). Variants of two entries are dropped."""
+    found = _origins(entries, _synonyms(entries))
+    return {key: (lo, allowed, rank) for key, (lo, hi, allowed, rank) in found.items() if lo == hi}
+
+
 class Index:
-    """Variants of one shard of the reference: exact keys, and a BK-tree of those that may be mistyped."""
+    """Variants of a whole reference: exact keys, and a BK-tree of those that may be mistyped."""
 
     def __init__(self, entries: list[tuple[int, str, list[str]]]) -> None:
         self.keys = variants(entries)
@@ -249,14 +257,41 @@ class Index:
         return best, min(ids), max(ids)
 
 
-def _shards(reference: DataFrame) -> Iterator[list[tuple[int, str, list[str]]]]:
-    rows = reference.select(
+class Shard:
+    """Variants of one shard of a reference, also those of two entries: which of them count shows only over all shards."""
+
+    def __init__(self, entries: list[tuple[int, str, list[str]]], same: dict) -> None:
+        self.keys = _origins(entries, same)
+        self.tree = BKTree(sorted(k for k, v in self.keys.items() if v[2]))
+        self.longest = max(map(len, self.keys), default=0)
+        self.names = {cid: " ".join(words_of(name)) for cid, name, _ in entries}
+
+    def candidates(self, key: str) -> list[tuple[str, int, int, int, int]]:
+        """Every variant near enough: (variant, distance, rank, lowest and highest entry)."""
+        if not key or len(key) > self.longest + RADIUS:
+            return []
+        near = {k: d for d, k in self.tree.within(key, RADIUS) if d <= self.keys[k][2]}
+        if key in self.keys:
+            near[key] = 0
+        return [(k, d, self.keys[k][3], *self.keys[k][:2]) for k, d in near.items()]
+
+
+def _entries(rows: DataFrame) -> list[tuple[int, str, list[str]]]:
+    return sorted((r["i"], r["n"], [x for x in (r["a"] or []) if x]) for r in rows.collect())
+
+
+def _reference(reference: DataFrame) -> DataFrame:
+    return reference.select(
         F.col("canon_id").cast("bigint").alias("i"), F.col("canon_name").alias("n"), F.col("aliases").alias("a")
     ).filter(F.col("i").isNotNull() & F.col("n").isNotNull())
-    n = 1 if small(rows, SHARD_ENTRIES) else max(1, -(-rows.count() // (SHARD_ENTRIES // 2)))
+
+
+def _shards(rows: DataFrame) -> Iterator[Shard]:
+    aliased = rows.filter(F.size("a") > 0).select("i").distinct()
+    same = _synonyms(_entries(rows.join(aliased, "i", "left_semi")))
+    n = max(1, -(-rows.count() // (SHARD_ENTRIES // 2)))
     for s in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == s)
-        yield sorted((r["i"], r["n"], [x for x in (r["a"] or []) if x]) for r in part.collect())
+        yield Shard(_entries(rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == s)), same)
 
 
 def _look_up(names: DataFrame, index: Index) -> DataFrame:
@@ -280,6 +315,39 @@ def _look_up(names: DataFrame, index: Index) -> DataFrame:
     return names.mapInArrow(run, "name string, dist int, lo bigint, hi bigint")
 
 
+def _candidates(names: DataFrame, shard: Shard) -> DataFrame:
+    """All variants of the shard near each name; a name without any has one row of nulls."""
+    shared = names.sparkSession.sparkContext.broadcast(shard)
+    schema = pa.schema([("name", pa.string()), ("variant", pa.string()), ("dist", pa.int32()), ("rank", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("near", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = shared.value
+        for batch in batches:
+            rows = []
+            for name, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = shard.candidates(key)
+                words = " ".join(words_of(name)) if found else ""
+                near = {lo: distance(words, shard.names[lo]) for _, d, _, lo, hi in found if d and lo == hi}
+                rows.extend((name, *c, near.get(c[3]) if c[1] and c[3] == c[4] else None) for c in found)
+                if not found:
+                    rows.append((name, *[None] * 6))
+            cols = list(zip(*rows)) or [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return names.mapInArrow(run, "name string, variant string, dist int, rank int, lo bigint, hi bigint, near int")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """``name, dist, lo, hi`` over the candidates of all shards: the entries left after rank, distance and words in order."""
+    one = found.repartition("name").groupBy("name", "variant").agg(
+        F.min(F.struct("rank", "lo", "dist", "near")).alias("a"), F.min(F.struct("rank", (-F.col("hi")).alias("below"))).alias("b")
+    )
+    at = F.when(F.col("a.lo") == -F.col("b.below"), F.struct("a.dist", "a.near", "a.lo"))
+    below = F.when(F.col("a.lo") == -F.col("b.below"), F.struct("a.dist", "a.near", (-F.col("a.lo")).alias("below")))
+    best = one.groupBy("name").agg(F.min(at).alias("a"), F.min(below).alias("b"))
+    return best.select("name", F.col("a.dist").alias("dist"), F.col("a.lo").alias("lo"), (-F.col("b.below")).alias("hi"))
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.column(0).to_pylist()
@@ -297,16 +365,11 @@ def map_names(names: DataFrame, reference: DataFrame) -> DataFrame:
         .mapInArrow(_keyed, "name string, key string")
         .repartition(n, "key")
     )
-    found = [_look_up(keyed, Index(entries)) for entries in _shards(reference)]
-    if len(found) > 1:
-        union = reduce(DataFrame.unionByName, found)
-        merged = union.groupBy("name").agg(
-            F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "lo"))).alias("a"),
-            F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", (-F.col("hi")).alias("below")))).alias("b"),
-        )
-        best = merged.select("name", F.col("a.dist").alias("dist"), F.col("a.lo").alias("lo"), (-F.col("b.below")).alias("hi"))
+    entries = _reference(reference)
+    if small(entries, SHARD_ENTRIES):
+        best = _look_up(keyed, Index(_entries(entries)))
     else:
-        best = found[0]
+        best = _merged(reduce(DataFrame.unionByName, [_candidates(keyed, shard) for shard in _shards(entries)]))
     matched = F.col("lo") == F.col("hi")
     return best.select(
         "name", F.when(matched, F.col("lo")).otherwise(F.lit(0)).cast("bigint").alias("canon_id"), F.when(matched, F.col("dist")).alias("dist")

@@ -87,3 +87,28 @@ def test_null_reference_parts(spark):
     ref = spark.createDataFrame([(1, "Production", None), (2, None, ["x"]), (None, "Lost", None)], "canon_id bigint, canon_name string, aliases array<string>")
     df = spark.createDataFrame([("production",), ("lost",)], "v string")
     assert rows(k.map_names(df, ref).select("name", "canon_id")) == [("lost", 0), ("production", 1)]
+
+
+MANY = ENTRIES + [
+    (10, "Prod", []), (11, "Pipeline", []), (12, "Pipelane", []), (13, "Canaries", []), (14, "Blue Green", ["bg"]), (15, "Green Blue", []),
+    (16, "Hotfixes", []), (17, "Twins", []), (18, "Twins", []), (19, "Twinsy", []), (20, "Sandbox", ["sbx"]), (21, "Sandbox Asia", ["sbx as"]), (22, "Asia", []),
+]
+
+
+def test_shards_give_what_one_index_gives(spark, monkeypatch):
+    rng = random.Random(3)
+    typed = {"prod", "prd eu", "live europe", "asia sbx", "sandbox as", "prod europe", "twins", "twin", "twinsy", "pipelne", "pipelime", "pipel", "canary", "canarie", "bluegreen", "green", "blue gren"}
+    for _, name, aliases in MANY:
+        for v in [name, *aliases]:
+            typed |= {v, v[:5], v[::-1]}
+            for _ in range(4):
+                i = rng.randrange(len(v))
+                typed.add(v[:i] + rng.choice(["", v[i] + "e", "x"]) + v[i + 1 :])
+    ref = spark.createDataFrame(MANY, "canon_id bigint, canon_name string, aliases array<string>")
+    df = spark.createDataFrame([(v,) for v in sorted(typed)], "v string")
+    want = rows(k.map_names(df, ref))
+    assert {(n, i) for n, i, _ in want} >= {("prod", 10), ("prd eu", 2), ("asia sbx", 21)} and {i for _, i, _ in want} > {0, 1, 2, 3, 4}
+    monkeypatch.setattr(k, "small", lambda *_: False)
+    for size in (2, 8):
+        monkeypatch.setattr(k, "SHARD_ENTRIES", size)
+        assert rows(k.map_names(df, ref)) == want
