@@ -3,8 +3,8 @@
 1. ``interpretations`` parses each text under every format of a fixed grammar. A format yields plain fields (year to
    fraction, a zone if written); most texts fit one format, dates with slashes fit several.
 2. Per source (column and space) the mixture of formats is estimated by expectation-maximisation. A value contributes
-   likelihood under each valid parse: how near that parse lies to the time the row was loaded. A declared date order is
-   the prior of the mixture. Values enter as counts of signatures (which parses are valid, how near each is), so the
+   likelihood under each valid parse: how near that parse lies to the time the row was loaded. A declared date order
+   is binding: the other one has prior 0. Values enter as counts of signatures (which parses are valid, how near each is), so the
    estimate reads all rows and its input per source stays bounded.
 3. The posterior chooses each value's parse; below ``CERTAIN`` the value is marked ambiguous and gets no moment.
 
