@@ -12,7 +12,7 @@ from depweft.functions.ranks import CONFIDENCE
 from depweft.operators import edges as E
 from depweft.operators import traversal
 
-#: Rows that an envelope carries; the frame behind it is whole.
+#: Rows that an envelope carries, and that its deployed_refs come from; the frame form is whole.
 SHOWN = 10_000
 
 
@@ -38,7 +38,7 @@ def _checked(min_confidence: str) -> str:
 
 
 class QueryEngine:
-    """Queries over node and edge frames. Each method has a frame form (whole, lazy) and an envelope."""
+    """Queries over node and edge frames. Each method gives an envelope of at most ``SHOWN`` rows; ``*_frame`` is its frame form, whole."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
         self.nodes, self.edges = nodes, edges
@@ -63,23 +63,34 @@ class QueryEngine:
         row = self.nodes.filter(F.col("repo_id") == ref).agg(F.min("id").alias("i")).first()
         return row["i"] or ref
 
+    def find_relevant_repos_frame(self, task: str, env: str, max_hops: int = traversal.MAX_RELEVANT_HOPS, min_confidence: str = "low") -> DataFrame:
+        return traversal.find_relevant(self.nodes, self.edges, task, env, max_hops, _checked(min_confidence))
+
     def find_relevant_repos(self, task: str, env: str, max_hops: int = traversal.MAX_RELEVANT_HOPS, min_confidence: str = "low") -> QueryResult:
-        rows = traversal.find_relevant(self.nodes, self.edges, task, env, max_hops, _checked(min_confidence))
+        rows = self.find_relevant_repos_frame(task, env, max_hops, min_confidence)
         return self._envelope("find_relevant_repos", env, rows, task, "no-match")
 
+    def impact_analysis_frame(self, repo: str, env: str, min_confidence: str = "low") -> DataFrame:
+        return traversal.impact(self.edges, self._id(repo), env, _checked(min_confidence))
+
     def impact_analysis(self, repo: str, env: str, min_confidence: str = "low") -> QueryResult:
-        rows = traversal.impact(self.edges, self._id(repo), env, _checked(min_confidence))
-        return self._envelope("impact_analysis", env, rows, repo, "no-match")
+        return self._envelope("impact_analysis", env, self.impact_analysis_frame(repo, env, min_confidence), repo, "no-match")
+
+    def dependency_path_frame(self, from_repo: str, to_repo: str, env: str) -> DataFrame:
+        return traversal.shortest_path(self.edges, self._id(from_repo), self._id(to_repo), env)
 
     def dependency_path(self, from_repo: str, to_repo: str, env: str) -> QueryResult:
-        rows = traversal.shortest_path(self.edges, self._id(from_repo), self._id(to_repo), env)
-        return self._envelope("dependency_path", env, rows, f"{from_repo}->{to_repo}", "no-source")
+        return self._envelope("dependency_path", env, self.dependency_path_frame(from_repo, to_repo, env), f"{from_repo}->{to_repo}", "no-source")
+
+    def env_diff_frame(self, repo: str, env_a: str, env_b: str) -> DataFrame:
+        return E.environment_diff(self.edges, self._id(repo), env_a, env_b)
 
     def env_diff(self, repo: str, env_a: str, env_b: str) -> QueryResult:
-        rows = E.environment_diff(self.edges, self._id(repo), env_a, env_b)
-        return self._envelope("env_diff", f"{env_a}:{env_b}", rows, repo, "no-difference")
+        return self._envelope("env_diff", f"{env_a}:{env_b}", self.env_diff_frame(repo, env_a, env_b), repo, "no-difference")
 
-    def explain_edge(self, from_repo: str, to_repo: str, env: str, traces: DataFrame | None = None) -> QueryResult:
+    def explain_edge_frame(self, from_repo: str, to_repo: str, env: str, traces: DataFrame | None = None) -> DataFrame:
         edges = self.edges if "evidence" in self.edges.columns else self.edges.withColumn("evidence", F.lit(None).cast("string")).withColumn("llm_trace", F.lit(None).cast("string"))
-        rows = E.explain(edges, self._id(from_repo), self._id(to_repo), env, traces)
-        return self._envelope("explain_edge", env, rows, f"{from_repo}->{to_repo}", "no-source")
+        return E.explain(edges, self._id(from_repo), self._id(to_repo), env, traces)
+
+    def explain_edge(self, from_repo: str, to_repo: str, env: str, traces: DataFrame | None = None) -> QueryResult:
+        return self._envelope("explain_edge", env, self.explain_edge_frame(from_repo, to_repo, env, traces), f"{from_repo}->{to_repo}", "no-source")

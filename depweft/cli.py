@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
         one = q.add_parser(name)
         for a in args:
             one.add_argument(a)
+        one.add_argument("--out", help="new folder for all rows as Parquet; the output shows the first ones only")
         if name != "env-diff":
             one.add_argument("--env", default="prod")
         if name in ("find", "impact"):
@@ -51,14 +52,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         store.persist_build(spark.read.parquet(a.edges))
         return 0
     engine = QueryEngine(store.read("Deployable"), store.read("DEPENDS_ON"))
-    run = {
-        "find": lambda: engine.find_relevant_repos(a.task, a.env, a.max_hops, a.min_confidence),
-        "impact": lambda: engine.impact_analysis(a.repo, a.env, a.min_confidence),
-        "path": lambda: engine.dependency_path(a.from_repo, a.to_repo, a.env),
-        "explain": lambda: engine.explain_edge(a.from_repo, a.to_repo, a.env),
-        "env-diff": lambda: engine.env_diff(a.repo, a.env_a, a.env_b),
-    }
-    result = run[a.query]()
+    method, args = {
+        "find": lambda: ("find_relevant_repos", (a.task, a.env, a.max_hops, a.min_confidence)),
+        "impact": lambda: ("impact_analysis", (a.repo, a.env, a.min_confidence)),
+        "path": lambda: ("dependency_path", (a.from_repo, a.to_repo, a.env)),
+        "explain": lambda: ("explain_edge", (a.from_repo, a.to_repo, a.env)),
+        "env-diff": lambda: ("env_diff", (a.repo, a.env_a, a.env_b)),
+    }[a.query]()
+    if a.out:
+        getattr(engine, f"{method}_frame")(*args).write.parquet(a.out)
+    result = getattr(engine, method)(*args)
     print(result.to_json())
     return 0 if result.results else 1
 

@@ -103,6 +103,20 @@ def test_store_api_cli(spark, tmp_path, capsys):
     assert main(["--store", str(tmp_path / "g"), "query", "impact", "zzz"], spark) == 1
 
 
+def test_whole_frames_beyond_the_envelope(spark, tmp_path, capsys, monkeypatch):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    store.initialise()
+    edges = [(a, b, "prod", "declared", "high") for a, b in [("web1", "mid"), ("web2", "mid"), ("web3", "mid"), ("mid", "db"), ("mid", "mq")]]
+    store.persist_build(spark.createDataFrame(edges, "from_id string, to_id string, env string, provenance string, confidence string"))
+    monkeypatch.setattr("depweft.api.SHOWN", 1)
+    queries = {"impact": (["mid"], 3), "find": (["mid"], 3), "path": (["web1", "db"], 2), "explain": (["mid", "db"], 1), "env-diff": (["mid", "prod", "dev"], 2)}
+    for query, (args, n) in queries.items():
+        out = str(tmp_path / query)
+        assert main(["--store", str(tmp_path / "g"), "query", query, *args, "--out", out], spark) == 0
+        shown = json.loads(capsys.readouterr().out)
+        assert (len(shown["results"]), shown["metadata"]["rows"], spark.read.parquet(out).count()) == (1, n, n), query
+
+
 def test_sinks_helpers(spark):
     ev = spark.createDataFrame([([("file", "a:1")],)], "e array<struct<source_type:string,locator:string>>")
     assert ev.select(evidence_json(F.col("e"))).first()[0] == '["file:a:1"]'
