@@ -527,7 +527,7 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
       SELECT repo, key, n, truncated FROM k JOIN b USING (repo) WHERE NOT truncated OR r <= c // 2""",
 )
 def truncated_facts(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.truncated_facts(_facts(spark, d), 150).groupBy("repo", "key", "truncated").agg(F.count(F.lit(1)).alias("n"))
+    return resolve.truncated_facts(_facts(spark, d)).groupBy("repo", "key", "truncated").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Attribution

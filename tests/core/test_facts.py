@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from conftest import rows
+from depweft.operators import resolve
 from depweft.plans import domain_queries, inventory_queries
 
 QUERIES = domain_queries.queries() | inventory_queries.queries()
@@ -56,6 +57,19 @@ def test_truncated_facts(spark, few):
     assert rows(got) == sorted(((*k, c, False) for k, c in n.items()), key=repr)
 
 
+def test_truncation(spark):
+    """Above the limit the half of the keys with most rows stays; up to it all do."""
+    many = [("big", k, "v" * 10) for k, n in (("a", 1), ("b", 3), ("c", 4), ("d", 2), ("e", 6)) for _ in range(n)]
+    df = spark.createDataFrame([*many, *[("even", "x", "v" * 75), ("even", "y", "v" * 75)]], "repo string, key string, value string")
+    got = resolve.truncated_facts(df, 150).groupBy("repo", "key", "truncated").count()
+    assert rows(got) == [("big", "c", True, 4), ("big", "e", True, 6), ("even", "x", False, 1), ("even", "y", False, 1)]
+
+
+def test_truncated_query_keeps_repositories_below_the_limit(spark, data):
+    got = QUERIES["a13_truncated_facts"](spark, data)
+    assert got.filter("truncated").count() == 0 and got.count() > 0
+
+
 def test_value_sets(spark, few):
     sets = defaultdict(set)
     for repo, key, value, source, layer, condition in facts():
@@ -75,8 +89,8 @@ def test_static_values(spark, few):
 
 
 def whole(name):
-    """The twin without the cut that it carries."""
-    return SQL[name].replace(" WHERE l_quantity >= 45", "").replace(" AND l_quantity >= 45", "")
+    """The twin without the cut that it carries, and with the operator's limit of bytes."""
+    return SQL[name].replace("> 150 AS truncated", "> 10000000 AS truncated").replace(" WHERE l_quantity >= 45", "").replace(" AND l_quantity >= 45", "")
 
 
 @pytest.mark.parametrize("name", ["a12_winning_facts", "a13_truncated_facts", "j6_facts_first", "a14_value_sets", "e11_static_values"])
