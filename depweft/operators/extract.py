@@ -177,13 +177,26 @@ def package_identities(xml: DataFrame) -> DataFrame:
     )
 
 
+_LITERAL = r'"([^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+)"'
+_OTHERS = r'[^;",]*+(?:' + _LITERAL.replace("([^", "(?:[^", 1) + r'[^;",]*+|,(?!\s*\w+\s*=\s*")[^;",]*+)*+,\s*'
+#: One declarator and all text before it from the end of the last one on: text before, name, literal. \G stops retries.
+DECLARATOR = (
+    r'\G((?<=")' + _OTHERS + r'|[\s\S]*?\b(?:const\s+string\s+(?:' + _OTHERS + r')??|string\s+(?=\w+\s*\{[^}]*\}\s*=)))'
+    r'(\w+)(?:\s*\{[^}]*\})?\s*=\s*' + _LITERAL
+)
+
+
 def constants(files: DataFrame) -> DataFrame:
-    """String constants, locals and property defaults of C# sources, found by patterns (an approximation of a parser)."""
-    pattern = r"\b(?:const\s+string\s+(\w+)\s*=|string\s+(\w+)\s*\{[^}]*\}\s*=)\s*\"((?:[^\"\\]|\\.)*)\""
-    text = lines(files.filter(F.lower("path").endswith(".cs")))
-    name = F.coalesce(F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")), F.regexp_extract("line", pattern, 2))
-    hits = text.filter(F.col("line").rlike(pattern))
-    return hits.select("repo", name.alias("key"), F.regexp_extract("line", pattern, 3).alias("value"), F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("source"), F.lit(2).alias("layer"))
+    """String constants and property defaults of C# sources, found by patterns (an approximation of a parser).
+
+    Every declarator of a statement counts, also over several lines; its line is that of its name.
+    """
+    part = lambda n: F.regexp_extract_all("content", F.lit(DECLARATOR), F.lit(n))
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    found = files.filter(F.lower("path").endswith(".cs")).select("repo", "path", F.arrays_zip(part(0).alias("whole"), part(1).alias("before"), part(2).alias("key"), part(3).alias("value")).alias("d"))
+    each = found.select("repo", "path", "d", F.posexplode("d").alias("n", "one"))
+    line = 1 + breaks(F.array_join(F.slice(F.col("d.whole"), F.lit(1), F.col("n")), "")) + breaks(F.col("one.before"))
+    return each.select("repo", F.col("one.key").alias("key"), F.col("one.value").alias("value"), F.concat_ws(":", "path", line.cast("string")).alias("source"), F.lit(2).alias("layer"))
 
 
 def file_facts(files: DataFrame) -> DataFrame:
