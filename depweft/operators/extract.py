@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweft.functions.tokens import camel_to_kebab, has_token, is_url_key, reference_kind, tokens_in
+from depweft.runtime import map_batches
 
 #: File kinds and names of each extractor. Fixed values.
 MARKUP_EXTENSIONS = [".aspx", ".ascx", ".master", ".cshtml", ".razor", ".html", ".htm"]
@@ -127,7 +128,7 @@ def _walked(files: DataFrame, walk) -> DataFrame:  # noqa: ANN001
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["repo", "path", "place", "key", "value"])
 
-    return files.select("repo", "path", "content").mapInArrow(run, _TREE)
+    return map_batches(files.select("repo", "path", "content"), run, _TREE)
 
 
 def json_settings(files: DataFrame) -> DataFrame:

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and holds at most this many rows.
 BROADCAST_ROWS = 200_000
+#: A key is hot with more than this share of all rows, and more rows than HOT_ROWS; at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 0.001
+HOT_ROWS = 20_000
+SALTS = 16
 
 
 _shipped: set[str] = set()
@@ -32,9 +39,14 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of this package: the executors are given the package first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +69,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 _folders: dict[str, str] = {}
+_open: list[list[str]] = []
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -84,11 +97,33 @@ def cut(df: DataFrame) -> DataFrame:
     planner knows its size.
     """
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    path = stage_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new folder for one written stage."""
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Removes the stages written inside when it ends; results must have been written or fetched by then.
+
+    Without it they stay until the driver ends, since a frame that reads them may still be used.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` holds at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit
@@ -99,6 +134,26 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
-def replicated(df: DataFrame, salts: int) -> DataFrame:
-    """The other side of a salted join: every row once per salt."""
-    return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "__n") -> list[Row]:
+    """The hot keys of a frame of counts per key: at most ``1 / HOT_SHARE`` rows reach the driver, by proof."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.filter(F.col(n) > max(HOT_ROWS, HOT_SHARE * total)).select(*keys).collect()
+
+
+def is_hot(hot: list[Row], keys: list[str]) -> Column:
+    """Whether a row's key is in the short list."""
+    by_first: dict[object, list] = {}
+    for k in hot:
+        by_first.setdefault(tuple(k[c] for c in keys[:-1]), []).append(k[keys[-1]])
+    tests = [reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(keys, first)], F.col(keys[-1]).isin(last)) for first, last in sorted(by_first.items(), key=repr)]
+    return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
+
+
+def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: list[Row], spread: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Equi-join in which rows of hot keys are spread over ``salts`` tasks by a hash of the columns ``spread``; only the
+    other side's rows of these keys are copied. ``how``: inner or left."""
+    if not hot:
+        return rows.join(other, keys, how)
+    salt = F.when(is_hot(hot, keys), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(is_hot(hot, keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("__salt", salt).join(other.withColumn("__salt", F.explode(copies)), [*keys, "__salt"], how).drop("__salt")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depweft.runtime import map_batches
+
 _PAGED = "struct<Items:array<struct<Id:string,Name:string,Slug:string,PersistenceSettings:struct<Url:string>>>>"
 _BUILDS = "struct<buildType:array<struct<id:string,name:string,projectName:string,projectId:string>>>"
 _SCOPE = "struct<Environment:array<string>,Role:array<string>,Tenant:array<string>,Channel:array<string>>"
@@ -142,7 +144,7 @@ def _bindings(files: DataFrame, read) -> DataFrame:  # noqa: ANN001
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["repo", "path", "pipeline", "role", "env"])
 
-    return files.select("repo", "path", "content").mapInArrow(run, _BINDING)
+    return map_batches(files.select("repo", "path", "content"), run, _BINDING)
 
 
 def workflow_bindings(files: DataFrame) -> DataFrame:
