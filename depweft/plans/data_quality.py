@@ -30,16 +30,34 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d), "deployments")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _nested(spark: SparkSession, d: str) -> DataFrame:
     builds = shred.build_type_rows(table(spark, d, "build_types")).withColumn("tbl", F.lit("build_types"))
     roots = shred.vcs_root_rows(table(spark, d, "vcs_roots")).withColumn("tbl", F.lit("vcs_roots"))
-    return builds.unionByName(roots).select(
-        "tbl", "row_key", "path", "parent_pos", "pos", F.coalesce("child", F.lit("")).alias("child")
-    )
+    return builds.unionByName(roots)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _nested(spark, d).select("tbl", "row_key", "path", "parent_pos", "pos", shred.child().alias("child"))
+
+
+def p3_properties(spark: SparkSession, d: str) -> DataFrame:
+    leaf = F.col("leaves")
+    return _nested(spark, d).filter(F.col("path").endswith("property")).select(
+        "tbl", "row_key", "path", "parent_pos", "pos", leaf["name"].alias("name"), leaf["value"].alias("value"), leaf["raw_type"].alias("raw_type")
+    )
+
+
+def p3_steps(spark: SparkSession, d: str) -> DataFrame:
+    return shred.flat_table(shred.build_type_rows(table(spark, d, "build_types")), shred.BUILD_TYPE_TABLES[3])
+
+
+def p3_entries(spark: SparkSession, d: str) -> DataFrame:
+    return shred.flat_table(shred.build_type_rows(table(spark, d, "build_types")), shred.BUILD_TYPE_TABLES[2])
 
 
 def p3_levels(spark: SparkSession, d: str) -> DataFrame:
-    return shred.level_columns(table(spark, d, "build_types"), "bt_row", "payload", shred.BUILD_TYPE_LEAVES, "buildType")
+    leaves = [leaf for t in shred.BUILD_TYPE_TABLES for leaf in t.leaves]
+    return shred.level_columns(table(spark, d, "build_types"), "bt_row", "payload", leaves, "buildType")
 
 
 def _wide(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -106,6 +124,9 @@ def queries() -> dict:
         "p2_found": p2_found,
         "p2_report": p2_report,
         "p3_found": p3_found,
+        "p3_properties": p3_properties,
+        "p3_steps": p3_steps,
+        "p3_entries": p3_entries,
         "p3_levels": p3_levels,
         "p4_found": p4_found,
         "p4_parameters_wide": p4_parameters_wide,
@@ -134,6 +155,26 @@ _ORPHANS = f"""WITH k AS (SELECT CASE kind WHEN 'project' THEN 'projectid' ELSE
     FROM d LEFT JOIN s ON d.field = s.field AND d.key = s.key WHERE d.key IS NOT NULL GROUP BY ALL),
   o AS (SELECT field, id, key, t0, CASE WHEN states = 0 THEN 'missing' WHEN first_at > t0 THEN 'later' WHEN gone THEN 'deleted' END AS status FROM j)"""
 
+
+
+def _slots(v: str) -> str:
+    """A JSON value as a list: its elements, itself if it is no list, nothing if it is null."""
+    return f"CASE WHEN coalesce(json_type({v}), 'NULL') = 'NULL' THEN [] WHEN json_type({v}) = 'ARRAY' THEN json_extract({v}, '$[*]') ELSE [{v}] END"
+
+
+_DECODED = """CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(ltrim(j->>'$', chr(65279) || e' \\t\\r\\n')) THEN CAST(ltrim(j->>'$', chr(65279) || e' \\t\\r\\n') AS JSON) END ELSE j END"""
+
+_OBJECTS = f"""WITH a0 AS (SELECT bt_row, CASE WHEN json_valid(ltrim(payload, chr(65279) || e' \\t\\r\\n')) THEN CAST(ltrim(payload, chr(65279) || e' \\t\\r\\n') AS JSON) END AS j FROM build_types),
+  a1 AS (SELECT bt_row, {_DECODED} AS j FROM a0), a2 AS (SELECT bt_row, {_DECODED} AS j FROM a1),
+  w AS (SELECT bt_row, CASE WHEN json_exists(j, '$.buildType') THEN json_extract(j, '$.buildType') ELSE j END AS j FROM a2),
+  r AS (SELECT bt_row, unnest({_slots("j")}) AS j FROM w),
+  top AS (SELECT bt_row, path, unnest(slots) AS o, generate_subscripts(slots, 1) AS pos FROM (SELECT bt_row, v.path, {_slots("v.v")} AS slots
+    FROM (SELECT bt_row, unnest([{{'path': 'settings.property', 'v': json_extract(j, '$.settings.property')}}, {{'path': 'parameters.property', 'v': json_extract(j, '$.parameters.property')}},
+      {{'path': 'vcs-root-entries.vcs-root-entry', 'v': json_extract(j, '$."vcs-root-entries"."vcs-root-entry"')}}, {{'path': 'steps.step', 'v': json_extract(j, '$.steps.step')}}]) AS v FROM r WHERE json_type(j) = 'OBJECT'))),
+  inner_ AS (SELECT bt_row, step, unnest(slots) AS o, generate_subscripts(slots, 1) AS pos FROM (SELECT bt_row, pos AS step, {_slots("json_extract(o, '$.properties.property')")} AS slots FROM top WHERE path = 'steps.step')),
+  o AS (SELECT bt_row, path, 0 AS parent_pos, pos, o FROM top WHERE json_type(o) = 'OBJECT' UNION ALL SELECT bt_row, 'steps.step.properties.property', step, pos, o FROM inner_ WHERE json_type(o) = 'OBJECT'),
+  v AS (SELECT vr_row, unnest(properties.property) AS p, generate_subscripts(properties.property, 1) AS pos FROM vcs_roots)"""
+
 _READ = """CASE kind
     WHEN 'text' THEN nullif(v, '')
     WHEN 'bool' THEN CASE WHEN lower(v) IN ('true', 'yes', 'y', 'on', '1', 'enabled', 't') THEN 'true' WHEN lower(v) IN ('false', 'no', 'n', 'off', '0', 'disabled', 'f') THEN 'false' END
@@ -157,5 +198,12 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"{_ORPHANS} SELECT field, id AS dep_id, status, strftime(t0, '%Y-%m') AS load_month FROM o WHERE status IS NOT NULL",
         "p2_report": f"""{_ORPHANS} SELECT 'deployments' AS tbl, field, strftime(t0, '%Y-%m') AS load_month, status, count(*) AS n_refs, count(DISTINCT key) AS n_keys
           FROM o WHERE status IS NOT NULL GROUP BY ALL""",
+        "p3_found": f"""{_OBJECTS} SELECT 'build_types' AS tbl, bt_row AS row_key, path, CAST(parent_pos AS BIGINT) AS parent_pos, pos, coalesce(CASE WHEN path IN ('vcs-root-entries.vcs-root-entry', 'steps.step') THEN o->>'id' ELSE o->>'name' END, '') AS child FROM o
+          UNION ALL SELECT 'vcs_roots', vr_row, 'properties.property', 0, pos, coalesce(p.name, '') FROM v WHERE p IS NOT NULL""",
+        "p3_properties": f"""{_OBJECTS} SELECT 'build_types' AS tbl, bt_row AS row_key, path, CAST(parent_pos AS BIGINT) AS parent_pos, pos, o->>'name' AS name, o->>'value' AS value, o->'type'->>'rawValue' AS raw_type FROM o WHERE path LIKE '%property'
+          UNION ALL SELECT 'vcs_roots', vr_row, 'properties.property', 0, pos, p.name, p.value, p.type.rawvalue FROM v WHERE p IS NOT NULL""",
+        "p3_steps": f"""{_OBJECTS} SELECT bt_row AS row_key, CAST(0 AS BIGINT) AS parent_pos, pos, o->>'id' AS id, o->>'name' AS name, o->>'type' AS type FROM o WHERE path = 'steps.step'""",
+        "p3_entries": f"""{_OBJECTS} SELECT bt_row AS row_key, CAST(0 AS BIGINT) AS parent_pos, pos, o->>'id' AS id, o->>'checkout-rules' AS checkout_rules, o->'vcs-root'->>'id' AS root_id, o->'vcs-root'->>'name' AS root_name
+          FROM o WHERE path = 'vcs-root-entries.vcs-root-entry'""",
         "p4_found": f"SELECT * FROM ({_CELLS}) WHERE val IS NOT NULL",
     }
