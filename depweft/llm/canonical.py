@@ -381,6 +381,9 @@ def _mapped(names: DataFrame, reference: DataFrame) -> DataFrame:
     part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     asked = names.select("name", part("name", chunks).alias("chunk"), every(shards).alias("shard"))
     trees = known.select("key", "id", "allowed", F.col("name").alias("vname"), part("key", shards).alias("shard"), every(chunks).alias("chunk"))
+    # By number, so that adaptive execution does not put small but slow groups into one task.
+    tasks = min(shards * chunks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked, trees = (df.repartition(tasks, "shard", "chunk") for df in (asked, trees))
     won = asked.groupBy("shard", "chunk").cogroup(trees.groupBy("shard", "chunk")).applyInArrow(_look_up, _WON)
     least = won.groupBy("name").agg(F.min(F.struct("dist", "away", "lo")).alias("a"), F.min(F.struct("dist", "away", (-F.col("hi")).alias("below"))).alias("b"))
     one = F.col("a.lo") == -F.col("b.below")

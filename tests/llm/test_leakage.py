@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 from conftest import rows
 from depweft.llm import leakage as k
@@ -15,6 +16,14 @@ def found(spark, docs, items):
     return rows(k.leaked_items(d, e))
 
 
+def letters(text):
+    return re.sub(r"[\W_]+", "", k.folded(text))
+
+
+def words(text):
+    return re.findall(r"[^\W_]+", "".join(c for c in k.folded(text) if unicodedata.category(c) != "Cf"))
+
+
 def plain(docs, items):
     """Every window of every item against every document."""
     out = set()
@@ -23,10 +32,9 @@ def plain(docs, items):
             if text is None or t is None:
                 continue
             if lang in k.UNSPACED:
-                s, doc = k.stream(t), k.stream(text)
+                s, doc = letters(t), letters(text)
                 hit = any(s[n : n + 40] in doc for n in range(len(s) - 39))
             else:
-                words = lambda x: re.findall(r"[^\W_]+", k.visible(k.folded(x)))
                 a, b = words(t), " " + " ".join(words(text)) + " "
                 hit = any(" " + " ".join(a[n : n + 12]) + " " in b for n in range(len(a) - 11))
             if hit:
@@ -75,22 +83,57 @@ def test_forms_that_do_not_matter(spark):
     assert sorted({i for _, i in out}) == [1, 2]
 
 
-def test_empty_and_blocks(spark, monkeypatch):
+def test_empty_and_portions(spark, monkeypatch):
     items = [(i, "en", " ".join(f"u{i}x{n}" for n in range(14))) for i in range(8)]
     docs = [(i, t) for i, _, t in items]
     assert found(spark, [], items) == [] and found(spark, docs, []) == []
-    monkeypatch.setattr(k, "BLOCK_CHARS", 150)
     assert found(spark, docs, items) == [(i, i) for i in range(8)]
 
 
+def test_hot_tokens_and_a_full_bit_table(spark, monkeypatch):
+    """The salted join, and a bit table so small that every shingle passes: the join alone decides."""
+    monkeypatch.setattr(k, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(k, "hot_keys", lambda counts, keys, n: counts.select(*keys).limit(3).collect())
+    monkeypatch.setattr(k, "SLOT_BITS", (1, 1))
+    rng = random.Random(9)
+    items = [(i, "en", " ".join(rng.choice(WORDS) for _ in range(20))) for i in range(6)]
+    docs = [(d, "start " + items[d % 6][2] + " end" if d % 3 else " ".join(rng.choice(WORDS) for _ in range(30))) for d in range(40)]
+    assert found(spark, docs, items) == plain(docs, items) != []
+
+
+def test_any_number_of_items_takes_two_passes_of_the_corpus(spark, monkeypatch):
+    seen = []
+    whole = k._texts
+    monkeypatch.setattr(k, "_texts", lambda documents: seen.append(1) or whole(documents))
+    items = [(i, "en", " ".join(f"u{i}x{n}" for n in range(14))) for i in range(300)]
+    docs = [(i, t) for i, _, t in items[:50]]
+    assert sorted(found(spark, docs, items)) == [(i, i) for i in range(50)]
+    assert len(seen) == 2
+
+
 def test_report(spark):
     leaks = spark.createDataFrame([(1, 5), (2, 5)], "doc_id bigint, item_id bigint")
     items = spark.createDataFrame([(5, "s", "en", ""), (6, "s", "en", "")], "item_id bigint, suite string, lang string, text string")
     assert rows(k.leak_report(leaks, items)) == [(5, "s", "en", 2), (6, "s", "en", 0)]
 
 
-def test_prefix_is_the_rarest_shingle_of_each_window():
-    item = k.Item(1, " ".join(f"a{n}" for n in range(14)), True)
-    parts = dict(item.shingles())
-    rare = sorted(parts)[4]
-    assert item.prefixes({s: (1 if at == rare else 9) for at, s in parts.items()}) == {(rare, parts[rare])}
+def test_prefix_is_the_rarest_shingle_of_each_window(spark):
+    df = spark.createDataFrame([(1, "en", " ".join(f"a{n}" for n in range(14)))], "item_id bigint, lang string, text string")
+    parts = k.item_shingles(df)
+    all_h = [r["h"] for r in parts.orderBy("at").collect()]
+    counts = lambda rare, n: spark.createDataFrame([(h, n if i == rare else 9) for i, h in enumerate(all_h)], "h bigint, n bigint")
+    assert [r["at"] for r in k.prefix_tokens(parts, counts(4, 1)).collect()] == [4], "it lies in every window"
+    assert k.prefix_tokens(parts, counts(4, 0)).count() == 0, "a window with a shingle that no document holds leaks nowhere"
+    assert [r["at"] for r in k.prefix_tokens(parts, counts(0, 1)).filter("n = 1").collect()] == [0]
+
+
+def test_positions_leave_room():
+    """The bound is safe: it never exceeds the letters of the smallest window of the item around the token."""
+    item = " ".join("x" * (1 + n % 5) for n in range(30))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([item]), pa.array([True])], names=["a", "b", "c"])
+    sizes = [1 + n % 5 for n in range(30)]
+    for r in next(iter(k._item_rows([batch]))).to_pylist():
+        around = [sum(sizes[i : i + 12]) for i in range(max(0, r["at"] - 8), min(r["at"], 18) + 1)]
+        assert r["need"] == min(around) and r["before"] == sum(sizes[max(0, r["at"] - 8) : r["at"]])
