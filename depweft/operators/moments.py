@@ -1,12 +1,15 @@
 """Mixed timestamp texts and time zones brought to one unambiguous moment in UTC.
 
-1. ``interpretations`` parses each text under every format of a fixed grammar. A format yields plain fields (year to
-   fraction, a zone if written); most texts fit one format, dates with slashes fit several.
-2. Per source (column and space) the mixture of formats is estimated by expectation-maximisation. A value contributes
-   likelihood under each valid parse: how near that parse lies to the time the row was loaded. A declared date order
-   is binding: the other one has prior 0. Values enter as counts of signatures (which parses are valid, how near each is), so the
-   estimate reads all rows and its input per source stays bounded.
-3. The posterior chooses each value's parse; below ``CERTAIN`` the value is marked ambiguous and gets no moment.
+1. ``parsed`` parses each text under every format of a fixed grammar. A format yields plain fields (year to fraction, a
+   zone if written); most texts fit one format, dates with slashes or dots may be valid day first and month first.
+2. Per source (column and space) the mixture of formats is estimated by expectation-maximisation over all its values. A
+   value contributes likelihood under each valid parse: how near that parse lies to the time the row was loaded. What is
+   declared of a source (its date order for slashes, day first for dots) is a prior of ``DECLARED`` pseudo-counts against
+   ``OTHER``: strong, but a source whose values tell otherwise often enough overrules it. Values enter as counts of
+   signatures (which parses are valid, how near each is), so the estimate reads all rows and its input per source stays
+   bounded.
+3. The posterior chooses each value's parse; below ``CERTAIN`` the value is marked ambiguous and gets no moment. A value
+   that is valid in one order only is read in that order, declared or not.
 
 Local times use the source's zone: a time that occurs twice is the earlier moment, a skipped one moves on by the gap.
 Zone letters are those of the source's own zone; GMT, UTC, UT and Z mean UTC everywhere.
@@ -27,10 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweft.functions.text import one_space
-from depweft.runtime import broadcast_if_small, cut
+from depweft.runtime import broadcast_if_small, cut, ship
 
 CERTAIN = 0.95
-ROUNDS = 50
+ROUNDS = 200
+#: Pseudo-counts of a declared order, of its opposite, and of both where none is declared.
+DECLARED, OTHER, OPEN = 100.0, 0.01, 0.01
 #: Likelihood of a parse by its distance to the load time: within a week, within a quarter, further.
 NEARNESS = (1.0, 0.25, 0.02)
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\+00:00$"
@@ -51,7 +56,8 @@ GRAMMAR = {
 _SLASHED = rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) {_CLOCK} ?(AM|PM)? ?{_ZONE}$"
 _EPOCH = r"^(?:\d{9,10}(?:[.,]\d+)?|\d{12,13}|\d{15,16}|\d{18}|/DATE\(-?\d{1,15}(?:[+-]\d{4})?\)/)$"
 _SLASHED_YEAR = rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}}) {_CLOCK} ?(AM|PM)? ?{_ZONE}$"
-ORDERS = {"DMY": "dmy", "MDY": "mdy", "YMD": "ymd"}
+#: Formats whose first two numbers may be day and month in either order, with the names of both readings.
+EITHER = {"slashed": ("dmy", "mdy"), "dotted": ("dotted_dmy", "dotted_mdy")}
 
 
 def cleaned(c: Column) -> Column:
@@ -107,21 +113,31 @@ def _seconds(text: Column) -> Column:
 
 
 def parsed(df: DataFrame) -> DataFrame:
-    """Adds every valid parse of ``text``: ``fmt`` with ``us_a``, for dates with slashes also ``us_b`` (month first).
+    """Adds every valid parse of ``text``: ``fmt`` with ``us_a``, for dates with slashes or dots also ``us_b`` (month first).
 
     Needs ``text`` (cleaned), ``home`` (zone name) and ``letters`` (map of zone letters to offsets).
     """
     text = F.col("text")
-    fmt = F.when(text.rlike(_EPOCH), "epoch").when(text.rlike(_SLASHED), "slashed").when(text.rlike(_SLASHED_YEAR), "ymd")
-    for name, (pattern, _) in GRAMMAR.items():
-        fmt = fmt.when(text.rlike(pattern), name)
+    pattern = {name: p for name, (p, _) in GRAMMAR.items()} | {"epoch": _EPOCH, "slashed": _SLASHED, "ymd": _SLASHED_YEAR}
+
+    def first(*names: str) -> Column:
+        """The first format that fits; whether a text may fit at all is told by a character before any pattern is tried."""
+        return reduce(lambda chain, n: chain.when(text.rlike(pattern[n]), n), names[1:], F.when(text.rlike(pattern[names[0]]), names[0]))
+
+    fmt = (
+        F.when(F.substring(text, 5, 1) == "-", first("iso", "ordinal"))
+        .when(F.contains(text, F.lit("/")), first("slashed", "ymd", "epoch"))
+        .otherwise(first("epoch", "mail", "dotted", "compact", "named"))
+    )
     by_format = F.col("fmt")
     fields = F.when(by_format == "slashed", F.regexp_replace(text, _SLASHED, "$3|$2|$1|$4|$5|$6|$7|$8|$9")).when(
         by_format == "ymd", F.regexp_replace(text, _SLASHED_YEAR, "$1|$2|$3|$4|$5|$6|$7|$8|$9")
     )
-    for name, (pattern, order) in GRAMMAR.items():
-        fields = fields.when(by_format == name, F.regexp_replace(text, pattern, order))
-    swapped = F.when(by_format == "slashed", F.regexp_replace(text, _SLASHED, "$3|$1|$2|$4|$5|$6|$7|$8|$9"))
+    for name, (form, order) in GRAMMAR.items():
+        fields = fields.when(by_format == name, F.regexp_replace(text, form, order))
+    swapped = F.when(by_format == "slashed", F.regexp_replace(text, _SLASHED, "$3|$1|$2|$4|$5|$6|$7|$8|$9")).when(
+        by_format == "dotted", F.regexp_replace(text, GRAMMAR["dotted"][0], "$3|$1|$2|$4|$5|$6|$7||$8")
+    )
     home, letters = F.col("home"), F.col("letters")
     return (
         df.withColumn("fmt", fmt)
@@ -142,14 +158,15 @@ def signature(df: DataFrame) -> DataFrame:
         away = F.abs(us - F.unix_micros("loaded_at"))
         return F.when(us.isNull(), "x").when(away <= 7 * day, "0").when(away <= 92 * day, "1").otherwise("2")
 
-    return df.withColumn("sig", F.concat_ws(":", F.coalesce("fmt", F.lit("none")), level(F.col("us_a")), level(F.col("us_b"))))
+    alike = F.col("us_a") == F.col("us_b")  # 03/03: either order, one moment, and no evidence for an order
+    named = F.when(alike, "alike").otherwise(F.coalesce("fmt", F.lit("none")))
+    return df.withColumn("sig", F.concat_ws(":", named, level(F.col("us_a")), F.when(alike, "x").otherwise(level(F.col("us_b")))))
 
 
 def _readings(sig: str) -> list[tuple[str, float]]:
     """The parses that a signature allows, with their likelihood."""
     fmt, a, b = sig.split(":")
-    names = ("dmy", "mdy") if fmt == "slashed" else (fmt, "")
-    return [(n, NEARNESS[int(x)]) for n, x in zip(names, (a, b)) if x != "x"]
+    return [(n, NEARNESS[int(x)]) for n, x in zip(EITHER.get(fmt, (fmt, "")), (a, b)) if x != "x"]
 
 
 _POSTERIOR = "field string, spaceid string, sig string, n bigint, choice string, posterior double"
@@ -157,10 +174,10 @@ _POSTERIOR = "field string, spaceid string, sig string, n bigint, choice string,
 
 def mixture(counts: pd.DataFrame) -> pd.DataFrame:
     """Expectation-maximisation over one source's signature counts: the choice for each signature and its posterior."""
-    declared = ORDERS.get(str(counts["dateorder"].iloc[0]).upper())
+    declared = {"dotted_dmy": "dotted_mdy"} | {"DMY": {"dmy": "mdy"}, "MDY": {"mdy": "dmy"}}.get(str(counts["dateorder"].iloc[0]).strip().upper(), {})
     readings = [_readings(s) for s in counts["sig"]]
     names = sorted({n for r in readings for n, _ in r})
-    prior = np.array([0.0 if declared in ("dmy", "mdy") and n in ("dmy", "mdy") and n != declared else 1.0 for n in names])
+    prior = np.array([DECLARED if n in declared else OTHER if n in declared.values() else OPEN for n in names])
     weight = np.zeros((len(readings), len(names)))
     for i, r in enumerate(readings):
         for n, likelihood in r:
@@ -172,9 +189,9 @@ def mixture(counts: pd.DataFrame) -> pd.DataFrame:
         posterior = weight * share
         total = posterior.sum(axis=1, keepdims=True)
         posterior = np.divide(posterior, total, out=np.zeros_like(posterior), where=total > 0)
-        new = prior * (1e-3 + (posterior * n[:, None]).sum(axis=0))
-        new = new / new.sum() if new.sum() else new
-        if np.abs(new - share).max(initial=0.0) < 1e-9:
+        new = prior + (posterior * n[:, None]).sum(axis=0)
+        new = new / new.sum()
+        if np.abs(new - share).max(initial=0.0) < 1e-12:
             break
         share = new
     best = posterior.argmax(axis=1) if names else np.zeros(len(readings), dtype=int)
@@ -234,23 +251,24 @@ def read_values(values: DataFrame, spaces: DataFrame) -> DataFrame:
 def format_posteriors(read: DataFrame) -> DataFrame:
     """Per source and signature the chosen format: ``field, spaceid, sig, n, choice, posterior``."""
     counts = read.groupBy("field", "spaceid", "dateorder", "sig").agg(F.count(F.lit(1)).alias("n"))
+    ship(read.sparkSession)
     return counts.groupBy("field", "spaceid").applyInPandas(mixture, _POSTERIOR)
 
 
 def normalised(values: DataFrame, spaces: DataFrame) -> DataFrame:
     """``field, rec_id, value, spaceid, status, fmt, utc_us`` for every value of ``stamped``.
 
-    status: 'ok', 'ambiguous', 'no_zone' or 'unreadable'. Only values with several formats need the posterior, so only
-    their sources are estimated again; it is broadcast after a check of its size.
+    status: 'ok', 'ambiguous', 'no_zone' or 'unreadable'. The parses are computed once and written to the shared folder;
+    the posteriors, a few signatures for each source, are broadcast after a check of their size.
     """
-    read = read_values(values, spaces)
-    several = F.col("fmt") == "slashed"
-    chosen = cut(format_posteriors(read.filter(several)).select("field", "spaceid", "sig", "choice"))
+    read = cut(read_values(values, spaces).drop("text", "letters", "loaded_at"))
+    chosen = cut(format_posteriors(read).select("field", "spaceid", "sig", "choice"))
     chosen = broadcast_if_small(chosen)
     out = read.join(chosen.withColumnRenamed("spaceid", "__space"), [
         read["field"] == chosen["field"], read["spaceid"].eqNullSafe(F.col("__space")), read["sig"] == chosen["sig"]
     ], "left").drop(chosen["field"]).drop(chosen["sig"])
-    us = F.when(several & (F.col("choice") == "dmy"), F.col("us_a")).when(several & (F.col("choice") == "mdy"), F.col("us_b")).when(~several, F.col("us_a"))
+    month_first = F.col("choice").isin([month for _, month in EITHER.values()])
+    us = F.when(F.col("choice") != "ambiguous", F.when(month_first, F.col("us_b")).otherwise(F.col("us_a")))
     status = (
         F.when(F.col("utc_us").isNotNull(), "ok")
         .when(F.col("choice") == "ambiguous", "ambiguous")

@@ -1,7 +1,8 @@
 """References to records that do not exist, per table and period.
 
 Distinct non-null foreign keys are anti-joined with the parents' keys; the parents' states are folded to one row per
-key (first load, deleted intervals); both are joined back to the referring rows. A key may be hot on the referring
+key (first load, deleted intervals), first within each day and then over the days, so that a parent with very many states
+is spread; both are joined back to the referring rows. A key may be hot on the referring
 side: keys are counted with their earliest use, those with more than a thousandth of all references (at most a thousand
 keys, so their list is small by proof) are salted in that join, the others are not multiplied.
 
@@ -16,16 +17,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweft.functions.text import fold_key, strip_space
-from depweft.runtime import cut
-
-SALTS = 16
-#: A key is hot with more than this share of all references, and more rows than HOT_ROWS.
-HOT_SHARE = 0.001
-HOT_ROWS = 20_000
+from depweft.runtime import SALTS, cut, hot_keys, salted_join
 
 
 def first_deliveries(rows: DataFrame, row_id: str, loaded_at: str, fields: list[str]) -> DataFrame:
@@ -64,23 +60,22 @@ def parent_states(parents: dict[str, DataFrame]) -> DataFrame:
         ],
     )
     states = states.groupBy("field", "__key", "__at").agg(F.min("__gone").alias("__gone"))
-    line = Window.partitionBy("field", "__key").orderBy("__at")
-    states = states.withColumn("__until", F.lead("__at").over(line))
-    return states.groupBy("field", "__key").agg(
-        F.min("__at").alias("__first"),
-        F.collect_list(
-            F.when(F.col("__gone") & F.col("__at").isNotNull(), F.struct(F.col("__at").alias("a"), F.col("__until").alias("b")))
-        ).alias("__deleted"),
+    # Within a day first: a parent loaded again and again is spread over its days, and only its turns are kept.
+    day = Window.partitionBy("field", "__key", "__day").orderBy("__at")
+    turns = (
+        states.withColumn("__day", F.to_date("__at"))
+        .withColumn("__before", F.lag("__gone").over(day))
+        .filter(F.col("__before").isNull() | (F.col("__before") != F.col("__gone")))
+        .withColumn("__until", F.lead("__at").over(day))
+    )
+    gone = F.when(F.col("__gone") & F.col("__at").isNotNull(), F.struct(F.col("__at").alias("a"), F.col("__until").alias("b")))
+    days = turns.groupBy("field", "__key", "__day").agg(F.min("__at").alias("__first"), F.collect_list(gone).alias("__deleted"))
+    # An interval still open at the end of its day ends with the first state of the next day that has one.
+    following = F.lead("__first").over(Window.partitionBy("field", "__key").orderBy("__day"))
+    closed = F.transform("__deleted", lambda i: F.struct(i["a"].alias("a"), F.coalesce(i["b"], F.col("__next")).alias("b")))
+    return days.withColumn("__next", following).groupBy("field", "__key").agg(
+        F.min("__first").alias("__first"), F.flatten(F.collect_list(closed)).alias("__deleted")
     )
-
-
-def _one_of(keys: list[Row]) -> Column:
-    """Whether a row's (field, key) is in a short list."""
-    by_field: dict[str, list[str]] = {}
-    for k in keys:
-        by_field.setdefault(k["field"], []).append(k["__key"])
-    tests = [(F.col("field") == f) & F.col("__key").isin(v) for f, v in sorted(by_field.items())]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 def orphan_references(
@@ -97,9 +92,7 @@ def orphan_references(
     refs = references(first, fields)
     states = parent_states(parents)
     earliest = cut(refs.groupBy("field", "__key").agg(F.min("__loaded").alias("__min_loaded"), F.count(F.lit(1)).alias("__n")))
-    total = earliest.agg(F.sum("__n")).first()[0] or 0
-    hot_keys = earliest.filter(F.col("__n") > max(HOT_ROWS, HOT_SHARE * total)).select("field", "__key").collect()
-    hot = _one_of(hot_keys)
+    hot = hot_keys(earliest, ["field", "__key"])
     missing = earliest.join(states, ["field", "__key"], "left_anti").select(
         "field", "__key", F.lit(None).cast("timestamp").alias("__first"),
         F.lit(None).cast("array<struct<a:timestamp,b:timestamp>>").alias("__deleted"), F.lit(True).alias("__missing"),
@@ -116,11 +109,8 @@ def orphan_references(
         .when(F.col("__first") > at, "later")
         .when(F.exists("__deleted", lambda i: (i["a"] <= at) & (i["b"].isNull() | (i["b"] > at))), "deleted")
     )
-    salt = F.when(hot, F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")).otherwise(0)
-    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return (
-        refs.withColumn("__salt", salt)
-        .join(problem.withColumn("__salt", F.explode(copies)), ["field", "__key", "__salt"])
+        salted_join(refs, problem, ["field", "__key"], hot, ["__id"], salts=salts)
         .withColumn("status", status)
         .filter(F.col("status").isNotNull())
         .select("field", F.col("__id").alias("ref_id"), F.col("__key").alias("ref_key"), "status", at.alias("loaded_at"))

@@ -2,12 +2,16 @@
 
 1. Every (entity, attribute) cell keeps the row of its highest version; this aggregates before the shuffle, so an entity
    or attribute that holds a third of the rows reaches no single task as raw rows.
-2. The cells are hash-partitioned by entity once. The catalogue's attributes are cut into blocks; each block is pivoted
-   by a grouping on the same entity columns, and the blocks are joined on them: all blocks share that partitioning, so
-   neither grouping nor joins shuffle again. The width of one aggregation stays bounded however many attributes exist.
+2. The catalogue's attributes are cut into blocks, and each cell carries the number of its block. The cells are shuffled
+   by entity once and written as a table bucketed by entity and partitioned by block.
+3. Each block reads its own cells only, is pivoted by a grouping on the entity columns, and the blocks are joined to the
+   entities on them: all share that bucketing, so neither groupings nor joins shuffle again. The width of one aggregation
+   stays bounded, and cells are read twice (by their block, and once more for the list of entities) however many
+   attributes exist.
 
 Defined results: names mean an attribute if their letters and digits agree, ignoring case; other names are dropped from
-the wide table (``unmatched_names`` reports them); the highest version wins even if it leaves the cell empty (ties: the
+the wide table (``unmatched_names`` reports them); of several spellings of one attribute in the catalogue the smallest is the
+column; without attributes there are no cells and no entities; the highest version wins even if it leaves the cell empty (ties: the
 latest load, then the larger row number and value; a null version is the lowest); null, blank and unreadable values are empty cells;
 entities without a filled cell keep a row of nulls; repeated rows change nothing; empty tables give empty results.
 """
@@ -20,8 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweft.functions.text import SPACE_CLASS, strip_space
+from depweft.runtime import bucketed
 
+#: Attributes in a block, at least, and blocks at most: more attributes make wider blocks.
 BLOCK = 8
+MOST_BLOCKS = 24
 
 _TRUE = ["true", "yes", "y", "on", "1", "enabled", "t"]
 _FALSE = ["false", "no", "n", "off", "0", "disabled", "f"]
@@ -76,48 +83,49 @@ READERS = {"int": read_int, "bool": read_bool, "decimal": read_decimal, "date":
 
 def catalogue(param_catalog: DataFrame, used_in: str, most: int = 20_000) -> list[tuple[str, str]]:
     """(attr, kind) of one table, in order; the catalogue names columns, so its size is bounded and checked."""
-    rows = param_catalog.filter(F.col("used_in") == used_in).select("attr", "kind").distinct().limit(most + 1).collect()
+    given = param_catalog.filter((F.col("used_in") == used_in) & F.col("kind").isin(list(READERS)) & (name_key(F.col("attr")) != ""))
+    rows = given.select("attr", "kind", name_key(F.col("attr")).alias("key")).distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the catalogue names more than {most} columns")
-    return sorted((r["attr"], r["kind"]) for r in rows if r["attr"] and r["kind"] in READERS)
+    first: dict[str, tuple[str, str]] = {}
+    for r in sorted(rows, reverse=True):
+        first[r["key"]] = (r["attr"], r["kind"])
+    return sorted(first.values())
 
 
-def _key_of(attr: str) -> str:
-    return "".join(ch for ch in attr.lower() if ch.isalnum())
+def _blocks(attrs: list[tuple[str, str]], block: int | None) -> list[list[tuple[str, str]]]:
+    size = block or max(BLOCK, -(-len(attrs) // MOST_BLOCKS))
+    return [attrs[i : i + size] for i in range(0, len(attrs), size)]
 
 
-def winning_cells(rows: DataFrame, entity: list[str], attrs: list[tuple[str, str]], order: list[str]) -> DataFrame:
-    """One row per (entity, attribute): ``<entity>, __attr, __value``. ``rows``: entity columns, name, value, order."""
-    names = F.create_map(*[x for a, _ in attrs for x in (F.lit(_key_of(a)), F.lit(a))]) if attrs else None
-    attr = F.try_element_at(names, name_key(F.col("name"))) if attrs else F.lit(None).cast("string")
+def winning_cells(rows: DataFrame, entity: list[str], attrs: list[tuple[str, str]], order: list[str], block: int | None = None) -> DataFrame:
+    """One row per (entity, attribute): ``<entity>, __attr, __block, __value``. ``rows``: entity columns, name, value, order."""
+    named = [(a, n) for n, part in enumerate(_blocks(attrs, block)) for a, _ in part]
+    names = rows.sparkSession.createDataFrame(named, "__attr string, __block int").withColumn("__key", name_key(F.col("__attr")))
     newest = F.max(F.struct(*[F.col(c) for c in order], F.col("value").alias("__value"))).alias("__top")
     return (
-        rows.withColumn("__attr", attr)
-        .filter(F.col("__attr").isNotNull())
-        .groupBy(*entity, "__attr")
+        rows.withColumn("__key", name_key(F.col("name")))
+        .join(F.broadcast(names), "__key")
+        .groupBy(*entity, "__attr", "__block")
         .agg(newest)
-        .select(*entity, "__attr", F.col("__top.__value").alias("__value"))
+        .select(*entity, "__attr", "__block", F.col("__top.__value").alias("__value"))
     )
 
 
 def wide_table(
-    rows: DataFrame, entity: list[str], attrs: list[tuple[str, str]], order: list[str], block: int = BLOCK,
+    rows: DataFrame, entity: list[str], attrs: list[tuple[str, str]], order: list[str], block: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """One row per entity with a typed column per attribute."""
-    cells = winning_cells(rows, entity, attrs, order)
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(n, *[F.col(e) for e in entity])
-    blocks = [attrs[i : i + block] for i in range(0, len(attrs), block)]
-    if not blocks:
-        return rows.select(*entity).distinct()
+    cells = bucketed(winning_cells(rows, entity, attrs, order, block), n, entity, "__block")
     pivoted = [
-        cells.groupBy(*entity).agg(
+        cells.filter(F.col("__block") == number).groupBy(*entity).agg(
             *[READERS[kind](F.max(F.when(F.col("__attr") == a, F.col("__value")))).alias(a) for a, kind in part]
         )
-        for part in blocks
-    ]
-    return reduce(lambda left, right: left.join(right, entity), pivoted)
+        for number, part in enumerate(_blocks(attrs, block))
+    ]
+    return reduce(lambda left, right: left.join(right, entity, "left"), pivoted, cells.select(*entity).distinct())
 
 
 def written(c: Column, kind: str) -> Column:
@@ -127,6 +135,8 @@ def written(c: Column, kind: str) -> Column:
 
 def filled_cells(wide: DataFrame, entity: list[str], attrs: list[tuple[str, str]]) -> DataFrame:
     """Unpivots a wide table to one row per filled cell: ``<entity>, attr, val``."""
+    if not attrs:
+        return wide.select(*entity, F.lit("").alias("attr"), F.lit("").alias("val")).limit(0)
     cells = F.array(*[F.struct(F.lit(a).alias("attr"), written(F.col(f"`{a}`"), k).alias("val")) for a, k in attrs])
     return wide.select(*entity, F.inline(F.filter(cells, lambda x: x["val"].isNotNull())))
 
@@ -156,9 +166,10 @@ ENTITIES = {"parameters": ["entity_id"], "variables": ENTITY}
 
 def unmatched_names(rows: DataFrame, attrs: list[tuple[str, str]]) -> DataFrame:
     """Names that mean no attribute of the catalogue, with their number of rows."""
-    keys = [_key_of(a) for a, _ in attrs]
+    names = rows.sparkSession.createDataFrame([(a,) for a, _ in attrs], "__attr string").select(name_key(F.col("__attr")).alias("__key"))
     return (
-        rows.filter(F.col("name").isNotNull() & ~name_key(F.col("name")).isin(keys))
+        rows.filter(F.col("name").isNotNull()).withColumn("__key", name_key(F.col("name")))
+        .join(F.broadcast(names), "__key", "left_anti")
         .groupBy(F.col("name"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

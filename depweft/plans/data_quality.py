@@ -115,7 +115,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 def p5_mixture(spark: SparkSession, d: str) -> DataFrame:
     read = moments.read_values(_stamped(spark, d), table(spark, d, "spaces"))
     return moments.format_posteriors(read).select(
-        "field", "spaceid", "sig", "n", "choice", F.round("posterior", 6).alias("posterior")
+        "field", "spaceid", "sig", "n", "choice", F.round("posterior", 9).alias("posterior")
     )
 
 
@@ -193,8 +193,35 @@ _CELLS = f"""WITH x AS (SELECT 'parameters' AS tbl, buildtypeid AS entity_id, ''
   SELECT tbl, entity_id, env_id, attr, {_READ} AS val FROM p"""
 
 
+#: The catalogue's columns as SQL types. Fixed values.
+_WIDE = {
+    "parameters": {
+        "BIGINT": ["build.timeout.minutes", "build.retry.count", "agent.min.memory.mb", "artifact.keep.days"],
+        "BOOLEAN": ["build.clean.checkout", "tests.run.parallel", "publish.enabled", "notify.on.failure"],
+        "DECIMAL(38,2)": ["coverage.threshold", "flaky.test.ratio"],
+        "DATE": ["licence.expires", "toolchain.frozen.until"],
+        "VARCHAR": ["artifact.channel", "solution.file", "image.base.name", "owner.team"],
+    },
+    "variables": {
+        "BIGINT": ["Cache.Ttl.Seconds", "Queue.Max.Depth", "Http.Port", "Upload.Limit.Mb"],
+        "BOOLEAN": ["Feature.NewLogin", "Audit.Enabled"],
+        "DECIMAL(38,2)": ["Sampling.Rate", "Price.Margin"],
+        "DATE": ["Certificate.ValidUntil"],
+        "VARCHAR": ["Gateway.BaseAddress", "Search.Host", "Log.Level"],
+    },
+}
+
+
+def _wide_sql(name: str) -> str:
+    entity = ", ".join(pivot.ENTITIES[name])
+    columns = ", ".join(f"""max(CASE WHEN attr = '{a}' THEN CAST(val AS {kind}) END) AS "{a}" """ for kind, attrs in _WIDE[name].items() for a in attrs)
+    return f"SELECT {entity}, {columns} FROM ({_CELLS}) WHERE tbl = '{name}' GROUP BY {entity}"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_parameters_wide": _wide_sql("parameters"),
+        "p4_variables_wide": _wide_sql("variables"),
         "p2_found": f"{_ORPHANS} SELECT field, id AS dep_id, status, strftime(t0, '%Y-%m') AS load_month FROM o WHERE status IS NOT NULL",
         "p2_report": f"""{_ORPHANS} SELECT 'deployments' AS tbl, field, strftime(t0, '%Y-%m') AS load_month, status, count(*) AS n_refs, count(DISTINCT key) AS n_keys
           FROM o WHERE status IS NOT NULL GROUP BY ALL""",

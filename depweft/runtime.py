@@ -110,6 +110,22 @@ def stage_path(spark: SparkSession) -> str:
     return path
 
 
+def bucketed(df: DataFrame, n: int, keys: list[str], part: str) -> DataFrame:
+    """A stage written as a table of ``n`` buckets by ``keys``, partitioned by ``part``: groupings and joins on the keys
+    need no shuffle, and a filter on ``part`` reads its files only."""
+    spark = df.sparkSession
+    name = f"depweft_{uuid.uuid4().hex}"
+    writer = df.repartition(n, *keys).write.format("parquet").partitionBy(part).bucketBy(n, *keys).sortBy(*keys)
+    writer.option("path", stage_path(spark)).saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @contextlib.contextmanager
 def stages(spark: SparkSession) -> Iterator[None]:
     """Removes the stages written inside when it ends; results must have been written or fetched by then.

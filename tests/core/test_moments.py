@@ -60,7 +60,10 @@ CASES = [
     ("03/04/2024 10:00", "B", us(2024, 4, 3, 8)),
     ("3/4/2024 10:00:05 PM", "N", us(2024, 3, 5, 3, 0, 5)),
     ("2024/03/04 10:00", "U", us(2024, 3, 4, 10)),
-    ("05/31/2024 10:00", "B", None),
+    ("05/31/2024 10:00", "B", us(2024, 5, 31, 8)),
+    ("05/05/2024 10:00", "U", us(2024, 5, 5, 10)),
+    ("12.31.2024 10:00", "U", us(2024, 12, 31, 10)),
+    ("13/13/2024 10:00", "B", None),
     ("2025-13-04 08:00:00", "U", None),
     ("30.02.2024 10:00", "U", None),
     ("2024-01-15T25:00:00Z", "U", None),
@@ -100,7 +103,25 @@ def test_expectation_maximisation_counts():
     out = moments.mixture(frame)
     assert out["choice"].tolist() == ["dmy", "mdy", "ambiguous"]
     assert out["posterior"].iloc[2] == pytest.approx(0.9, abs=0.02)
-    assert moments.mixture(frame.assign(dateorder="MDY"))["choice"].tolist() == [None, "mdy", "mdy"]
+    declared = moments.mixture(frame.assign(dateorder="DMY", n=[9, 1, 1]))
+    assert declared["choice"].tolist() == ["dmy", "mdy", "dmy"], "what is valid in one order only is read so, declared or not"
+    assert 0.95 < declared["posterior"].iloc[2] < 1
+
+
+def test_evidence_overrules_a_wrong_declaration(spark):
+    """The source says day first, its values month first: a few of them change nothing, many do, in between stays open."""
+    frame = lambda only: pd.DataFrame({"field": "f", "spaceid": "s", "dateorder": "DMY", "sig": ["slashed:x:0", "slashed:0:x", "slashed:0:0"], "n": [only, 5, 7]})
+    assert [moments.mixture(frame(n))["choice"].tolist()[2] for n in (2, 300, 5000)] == ["dmy", "ambiguous", "mdy"]
+    assert [moments.mixture(frame(n))["choice"].tolist()[:2] for n in (2, 300, 5000)] == [["mdy", "dmy"]] * 3
+    values = [(f"{1 + n % 12}/{13 + n % 15}/{1990 + n // 12} 10:00", "B") for n in range(4000)]
+    out = result(spark, [*values, ("3/4/2024 10:00", "B"), ("3/4/2024 10:00", "N")], dt.datetime(2024, 12, 31))
+    assert all(s == "ok" for s, _ in out)
+    assert out[-2][1] == us(2024, 3, 4, 9) and out[-1][1] == us(2024, 3, 4, 15)
+
+
+def test_nearness_to_the_load_decides_where_counts_do_not(spark):
+    out = result(spark, [("03/04/2024 10:00", "K")] * 1 + [("01/02/2024 10:00", "U")], dt.datetime(2024, 4, 4))
+    assert out[0] == ("ok", us(2024, 4, 3, 4, 30))
 
 
 def test_stamped_leaves_out_canonical_and_repeats(spark):

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 from conftest import rows
+from depweft import runtime
 from depweft.operators import orphans
 
 DAY = dt.datetime(2024, 1, 1)
@@ -52,11 +53,11 @@ def test_empty_tables(spark):
 
 
 def test_against_brute_force_with_a_hot_key(spark, monkeypatch):
-    monkeypatch.setattr(orphans, "HOT_ROWS", 20)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 20)
     rng = random.Random(3)
     keys = ["hot"] * 10 + [f"k{i}" for i in range(15)]
-    parents = [(rng.choice(keys[9:]), rng.random() < 0.4, at(rng.randrange(20))) for _ in range(40)] + [("hot", True, at(10))]
-    refs = [(f"d{rng.randrange(150)}", rng.choice(keys + [None]), rng.choice(keys), at(rng.randrange(20))) for _ in range(300)]
+    parents = [(rng.choice(keys[9:]), rng.random() < 0.4, at(rng.randrange(80) / 4)) for _ in range(60)] + [("hot", True, at(10))]
+    refs = [(f"d{rng.randrange(150)}", rng.choice(keys + [None]), rng.choice(keys), at(rng.randrange(80) / 4)) for _ in range(300)]
     first = {}
     for i, p, e, t in refs:
         first[i] = min(first.get(i, (t, p or "", e)), (t, p or "", e))

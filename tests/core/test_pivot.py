@@ -50,17 +50,35 @@ def test_one_row_per_entity(spark):
     assert rows(pivot.unmatched_names(frame(spark, cells), ATTRS)) == [("unknown", 1)]
 
 
-def test_blocks_share_one_partitioning(spark):
-    plan = wide(spark, [("x", "a.flag", "yes", 1)], block=2)._jdf.queryExecution().executedPlan().toString()
-    initial = plan.split("Initial Plan")[-1]
-    assert initial.count("REPARTITION_BY_NUM") == 3 and initial.count("Exchange") <= 6, "joins and groupings of blocks do not shuffle again"
+def test_blocks_read_their_cells_and_share_one_bucketing(spark):
+    """1,000 attributes: no block shuffles, each reads its own partition, the cells are read twice in all."""
+    attrs = [(f"attr.{i:04d}", "int") for i in range(1000)]
+    cells = [(f"e{e}", f"Attr-{i:04d}", str(e + i), 1) for e in range(6) for i in range(e, 1000, 97)]
+    out = pivot.wide_table(frame(spark, cells), pivot.ENTITY, attrs, pivot.ORDER)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    blocks = -(-1000 // -(-1000 // pivot.MOST_BLOCKS))
+    assert "hashpartitioning" not in plan, "neither groupings nor joins shuffle the bucketed cells"
+    assert len(scans) == blocks + 1 and sum("__block" in x.split("PartitionFilters: ")[1].split("PushedFilters")[0] for x in scans) == blocks
+    got = {r["entity_id"]: {a: r[a] for a, _ in attrs if r[a] is not None} for r in out.collect()}
+    assert got == {f"e{e}": {f"attr.{i:04d}": e + i for i in range(e, 1000, 97)} for e in range(6)}
+
+
+def test_catalogue_spellings(spark):
+    """Spellings that mean one attribute make one column; signs that are no decimal digits do not count."""
+    df = spark.createDataFrame([("MaxHeap", "int", "t"), ("max_heap", "text", "t"), ("x²", "int", "t"), ("--", "int", "t")], "attr string, kind string, used_in string")
+    attrs = pivot.catalogue(df, "t")
+    assert attrs == [("MaxHeap", "int"), ("x²", "int")]
+    out = pivot.wide_table(frame(spark, [("e", "MAX HEAP", "5", 1), ("e", "X", "7", 1)]), ["entity_id"], attrs, pivot.ORDER)
+    assert rows(out) == [("e", 5, 7)]
 
 
 def test_repeats_ties_nulls_and_empty(spark):
     cells = [("x", "a.flag", "yes", None), ("x", "a.flag", "no", 1), ("x", "a.flag", "no", 1)]
     assert rows(wide(spark, cells).select("`a.flag`")) == [(False,)]
     assert rows(wide(spark, [])) == []
-    assert rows(pivot.wide_table(frame(spark, cells), pivot.ENTITY, [], pivot.ORDER)) == [("x", "")]
+    assert rows(pivot.wide_table(frame(spark, cells), pivot.ENTITY, [], pivot.ORDER)) == []
+    assert rows(pivot.filled_cells(pivot.wide_table(frame(spark, cells), pivot.ENTITY, [], pivot.ORDER), pivot.ENTITY, [])) == []
 
 
 def test_scopes(spark):
