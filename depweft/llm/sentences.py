@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depweft.runtime import map_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -126,6 +128,11 @@ SCRIPTS = (
 )
 _NOT_LATIN = re.compile(r"[\u0370-\u1fff\u3040-\u9fff]")
 LATIN = ("en", "de", "fr", "es")
+_LATIN_LETTER = re.compile(r"[A-Za-z\u00c0-\u024f]")
+#: A block is in a script of its own if one in so many of its letters is; technical prose is full of Latin names.
+FOREIGN_SHARE = 8
+#: A block with Chinese characters is Japanese if it has at least one kana for so many of them.
+HAN_PER_KANA = 10
 
 _LINE = re.compile(r"\r\n|[\n\r  \x85\x0b\x0c]")
 _LIST = re.compile(r"\s*(?:[-*•‣◦▪·+–—]|\d{1,3}[.)]|\(\d{1,3}\)|[a-z]\))\s+\S")
@@ -147,6 +154,7 @@ _MARK = re.compile(r"[.!?…;](?<![.!?…;][.!?…;])[.!?…;]*+" + _CLOSE + r"+
 _ANY_MARK = re.compile(r"[.!?…;;۔。！？｡؟।॥](?<![.!?…;;۔。！？｡؟।॥]{2})[.!?…;;۔。！？｡؟।॥]*+" + _CLOSE + "+")
 _THAI_GAP = re.compile(r"(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])\s+(?=[\u0e01-\u0e3a\u0e40-\u0e4e])")
 _TAIL = re.compile(r"[^\W\d_]+\Z")
+#: Characters before a mark that rules may look at: the longest rule, with its word boundary, has fewer.
 _BEFORE = 28
 _MOST_KNOWN = 200_000
 
@@ -195,11 +203,15 @@ def _cascade(names: tuple[str, ...]) -> Cascade:
 
 
 def cascade_for(block: str, lang: str | None) -> Cascade:
-    """The cascade for one block: the tables of its script; among the Latin ones the document's label comes first."""
+    """The cascade for one block: the tables of the script that most of its letters outside Latin belong to, unless these
+    are few among its letters; among the Latin ones the document's label comes first."""
     if not block.isascii() and _NOT_LATIN.search(block):
-        for pattern, tables in SCRIPTS:
-            if pattern.search(block):
-                return _cascade((*tables, *LATIN))
+        counts = [len(pattern.findall(block)) for pattern, _ in SCRIPTS]
+        kana, han = counts[0], counts[1]
+        counts[0], counts[1] = (kana + han, 0) if kana * HAN_PER_KANA >= han else (0, kana + han)
+        most = max(counts)
+        if most and most * FOREIGN_SHARE >= len(_LATIN_LETTER.findall(block)):
+            return _cascade((*SCRIPTS[counts.index(most)][1], *LATIN))
     label = (lang or "").strip().lower()[:2]
     return _cascade(tuple(dict.fromkeys((label, *LATIN) if label in LATIN else LATIN)))
 
@@ -287,4 +299,4 @@ def sentence_units(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64())], names=["doc_id", "end_pos"])
 
     picked = documents.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return picked.filter(F.col("text").isNotNull()).mapInArrow(run, "doc_id bigint, end_pos bigint")
+    return map_batches(picked.filter(F.col("text").isNotNull()), run, "doc_id bigint, end_pos bigint")

@@ -72,3 +72,11 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, "A b. C d.", "en", "x"), (2, None, None, "x"), (3, " ", "en", "x"), (1, "A b. C d.", "en", "x")], "doc_id bigint, text string, lang string, end_pos string")
     assert rows(k.sentence_units(df)) == [(1, 4), (1, 4), (1, 9), (1, 9)]
     assert rows(k.sentence_units(df.limit(0))) == []
+
+
+def test_script_by_share_of_letters():
+    text = "The α value is set; then restart the node. It works."
+    assert k.unit_ends(text, "en") == [42, 52], "one Greek letter does not make a semicolon a question mark"
+    assert k.unit_ends("Πού είναι το αρχείο config; Εδώ.", "en") == [27, 32]
+    assert k.unit_ends("The title 東 stays. So does の here. End.", "en") == [18, 34, 39]
+    assert k.unit_ends("请重启 prometheus-exporter 服务。完成。", None) == [27, 30]
