@@ -38,16 +38,16 @@ def _checked(min_confidence: str) -> str:
 
 
 class QueryEngine:
-    """Queries over node and edge frames. Each method gives an envelope of at most ``SHOWN`` rows; ``*_frame`` is its frame form, whole."""
+    """Queries over node and edge frames. Each method gives an envelope of at most ``SHOWN`` rows, or of all if ``whole``; ``*_frame`` is its frame form, whole."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self.nodes, self.edges = nodes, edges
+    def __init__(self, nodes: DataFrame, edges: DataFrame, whole: bool = False) -> None:
+        self.nodes, self.edges, self.whole = nodes, edges, whole
 
     def _envelope(self, operation: str, env: str, rows: DataFrame, node: str, empty: str) -> QueryResult:
         rows = rows.cache()
         try:
-            head = rows.orderBy(*[c for c in ("hop", "step", "path", "from_id", "to_id") if c in rows.columns]).limit(SHOWN).collect()
-            results = [r.asDict(recursive=True) for r in head]
+            head = rows.orderBy(*[c for c in ("hop", "step", "path", "from_id", "to_id") if c in rows.columns])
+            results = [r.asDict(recursive=True) for r in (head if self.whole else head.limit(SHOWN)).collect()]
             if not results:
                 return QueryResult(operation, env, [], unknowns=[{"kind": empty, "ref": node, "env": env}])
             total = traversal.envelope(rows).first() if {"confidence", "provenance"} <= set(rows.columns) else None

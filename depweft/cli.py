@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from depweft.api import QueryEngine
 from depweft.plugins import Registry
+from depweft.runtime import stages
 from depweft.sinks.store import GraphStore
 
 
@@ -59,9 +60,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         "explain": lambda: ("explain_edge", (a.from_repo, a.to_repo, a.env)),
         "env-diff": lambda: ("env_diff", (a.repo, a.env_a, a.env_b)),
     }[a.query]()
-    if a.out:
-        getattr(engine, f"{method}_frame")(*args).write.parquet(a.out)
-    result = getattr(engine, method)(*args)
+    with stages(spark):
+        if a.out:
+            getattr(engine, f"{method}_frame")(*args).write.parquet(a.out)
+        result = getattr(engine, method)(*args)
     print(result.to_json())
     return 0 if result.results else 1
 

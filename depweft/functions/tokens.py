@@ -23,9 +23,11 @@ PERSONAL_FIELDS = [
     "user", "author", "owner", "email", "name", "contact", "username", "firstname", "lastname", "fullname",
     "phone", "mobile", "person", "identity",
 ]
+#: Forms of personal data in texts. Fixed values.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = r"\b(\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
 REDACTED = "[REDACTED]"
+#: Parts of key names that hold an address. Fixed values.
 URL_KEYS = ("url", "endpoint", "address", "host")
 #: Capabilities of a telemetry source and the path each is read from. Fixed values.
 CAPABILITY_PATHS = {
@@ -54,6 +56,7 @@ def substitute(text: Column, token: Column, value: Column) -> Column:
 
 
 def camel_to_kebab(c: Column) -> Column:
+    """Words of a camel-case name with hyphens between; both patterns are fixed values."""
     c = F.regexp_replace(c, r"([A-Z]+)([A-Z][a-z])", "$1-$2")
     return F.lower(F.regexp_replace(c, r"([a-z\d])([A-Z])", "$1-$2"))
 
@@ -63,6 +66,7 @@ def is_url_key(key: Column) -> Column:
 
 
 def reference_kind(key: Column) -> Column:
+    """What a key refers to, by parts of its name; these are fixed values."""
     low = F.lower(key)
     http = reduce(lambda a, b: a | b, [low.contains(k) for k in ("url", "baseaddress", "endpoint", "host", "api")])
     return F.when(low.contains("connection"), "connection-string").when(http, "http-client").otherwise("other")

@@ -42,7 +42,8 @@ SCOPING = {
     "circleci": "circleci-contexts",
     "bitbucket-pipelines": "bitbucket-deployments",
 }
-HINT_WORDS = ["host", "url", "endpoint", "address", "target", "server"]
+#: Words in a parameter's name that hint at an address. Fixed values.
+HINT_WORDS = ["host", "url", "endpoint", "target", "server", "address"]
 
 
 def intrinsic(files: DataFrame) -> DataFrame:

@@ -20,10 +20,11 @@ from depweft.runtime import map_batches
 
 #: File kinds and names of each extractor. Fixed values.
 MARKUP_EXTENSIONS = [".aspx", ".ascx", ".master", ".cshtml", ".razor", ".html", ".htm"]
-STATIC_ASSETS = [".css", ".js", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff"]
+STATIC_ASSETS = [".css", ".js", ".png", ".jpg", ".gif", ".svg", ".ico", ".woff", ".woff2"]
 SCRIPT_PACKAGE_FILES = ["package.json", "tsconfig.json"]
 DOTNET_EXTENSIONS = [".cs", ".vb", ".csproj", ".vbproj", ".sln"]
 LITERAL_KEYS = ["baseurl", "baseaddress", "apiurl", "serviceurl", "endpoint"]
+#: An address in a text. Fixed value.
 URL = r"https?://[a-zA-Z0-9._-]+(?:\.[a-zA-Z]{2,})(?::\d+)?(?:/[^\s\"'<>,;}\]]*)?"
 
 #: Kind of a markup reference and the pattern that finds it. Fixed values.
@@ -143,6 +144,52 @@ def json_settings(files: DataFrame) -> DataFrame:
     return _walked(files, walk)
 
 
+class _Written(float):
+    """A number that keeps how it was written."""
+
+    def __new__(cls, text: str) -> _Written:
+        made = super().__new__(cls, text)
+        made.text = text
+        return made
+
+
+def _json_values(node: object, path: tuple[str, ...]) -> Iterator[tuple[str, str, str]]:
+    if isinstance(node, dict):
+        for key, value in node.items():
+            yield from _json_values(value, (*path, key))
+    elif path:
+        text = "" if node is None else node if isinstance(node, str) else node.text if isinstance(node, _Written) else json.dumps(node, ensure_ascii=False, separators=(",", ":"))
+        yield ":".join(path), path[-1], text
+
+
+def json_values(files: DataFrame) -> DataFrame:
+    """All leaves of JSON objects with ':' between keys: numbers and booleans as written, null as '', arrays as JSON."""
+    def walk(text: str) -> Iterator[tuple[str, str, str]]:
+        try:
+            for place, key, value in _json_values(json.loads(text.lstrip("\ufeff"), parse_float=_Written), ()):
+                yield place, key, value
+        except (ValueError, RecursionError):
+            return
+
+    return _walked(files, walk)
+
+
+def web_config_values(files: DataFrame) -> DataFrame:
+    """Keys and values of the first appSettings section of each XML file; later sections do not count."""
+
+    def walk(text: str) -> Iterator[tuple[str, str, str]]:
+        try:
+            root = ET.fromstring(text.lstrip("\ufeff \t\r\n"))
+        except (ET.ParseError, ValueError):
+            return
+        section = next((n for n in root.iter("appSettings") if n is not root), None)
+        for add in section.findall("add") if section is not None else ():
+            if add.get("key") is not None and add.get("value") is not None:
+                yield "appSettings", add.get("key"), add.get("value")
+
+    return _walked(files, walk)
+
+
 def xml_settings(files: DataFrame) -> DataFrame:
     """Settings, connection strings, endpoints and package references of XML files; bad files give none."""
     return _walked(files, _xml_values)
@@ -201,9 +248,18 @@ def constants(files: DataFrame) -> DataFrame:
 
 
 def file_facts(files: DataFrame) -> DataFrame:
-    """Layer-1 facts: JSON settings with ':' between keys and their environment as the condition; base files come first."""
-    out = json_settings(files.filter(F.lower("path").rlike(r"(^|/)appsettings[^/]*\.json$")))
-    return out.select("repo", F.replace("place", F.lit("."), F.lit(":")).alias("key"), "value", F.col("path").alias("source"), environment_hint(F.element_at(F.split("path", "/"), -1)).alias("condition"), F.lit(1).alias("layer"))
+    """Layer-1 facts of settings files: ``repo, key, value, source, condition, layer, rank``.
+
+    Base files come before those of an environment and these by the number of parts in their name, then by path: that
+    order is ``(rank, source)``. The condition is the name of a file that is no base file, null for web.config.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    settings = json_values(files.filter(F.lower("path").rlike(r"(^|/)appsettings[^/]*\.json$")))
+    parts = F.size(F.filter(F.split(F.regexp_replace(name, r"\.[^.]*$", ""), r"\."), lambda x: x != ""))
+    condition = F.when(F.lower(name) != "appsettings.json", name)
+    json_facts = settings.select("repo", F.col("place").alias("key"), "value", F.col("path").alias("source"), condition.alias("condition"), F.lit(1).alias("layer"), parts.alias("rank"))
+    config = web_config_values(files.filter(F.lower("path").rlike(r"(^|/)web\.config$")))
+    return json_facts.unionByName(config.select("repo", "key", "value", F.col("path").alias("source"), F.lit(None).cast("string").alias("condition"), F.lit(1).alias("layer"), F.lit(1).alias("rank")))
 
 
 def unresolved(tokens: DataFrame, resolved: DataFrame, hits: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The look-up is a cascade: exact value, normalised value, exact host, normalised host. Each tier is an equi-join; their
 candidates are united with the tier as a number and the lowest tier of each reference wins, inside it the candidates of
-the reference's environment, else those of any environment, else all others. No condition joins with OR.
+the reference's environment, else those of any environment, else all others. No condition joins with OR. The index is
+broadcast after a count, else values that many references name, such as a gateway's host, are salted.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from depweft.functions.ranks import class_confidence
 from depweft.functions.urls import host_of, normalise_identity, normalise_lookup
+from depweft.runtime import hot_keys, salted_join, small
 
 
 def build_index(identities: DataFrame) -> DataFrame:
@@ -51,7 +53,13 @@ def project(refs: DataFrame, index: DataFrame, host_fallback: bool = True, stric
         F.explode(F.array(F.struct(F.lit("value").alias("on"), F.col("value").alias("key")), F.struct(F.lit("norm").alias("on"), F.col("norm").alias("key")))).alias("k"),
     ).select("owner", "repo", "confidence", "id_env", F.col("k.on").alias("on"), F.col("k.key").alias("key"))
     env_tier = F.when(F.lower("ref_env") == F.lower("id_env"), 0).when(F.col("id_env").isNull(), 1).otherwise(2)
-    hits = probes.join(sides, ["on", "key"]).withColumn("env_tier", env_tier)
+    sides = sides.distinct()
+    if small(sides):
+        hits = probes.join(F.broadcast(sides), ["on", "key"])
+    else:
+        hot = hot_keys(probes.groupBy("on", "key").agg(F.count(F.lit(1)).alias("__n")), ["on", "key"])
+        hits = salted_join(probes, sides, ["on", "key"], hot, ["ref_id"])
+    hits = hits.withColumn("env_tier", env_tier)
     best = Window.partitionBy("ref_id")
     hits = hits.withColumn("__t", F.min("tier").over(best)).filter(F.col("tier") == F.col("__t"))
     hits = hits.withColumn("__e", F.min("env_tier").over(best)).filter(F.col("env_tier") == F.col("__e"))

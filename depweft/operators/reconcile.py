@@ -40,7 +40,10 @@ def three_way(static: DataFrame, runtime: DataFrame, redact: bool = True) -> Dat
     s = static.filter(F.col("provenance") != "observed") if "provenance" in static.columns else static
     s = s.select(*KEY).distinct().withColumn("__s", F.lit(True))
     columns = [c for c in ("evidence", "confidence") if c in runtime.columns]
-    r = runtime.groupBy(*KEY).agg(F.lit(True).alias("__r"), *[F.first(c).alias(c) for c in columns])
+    # One row of a pair as a whole: the earliest if there is an order, else the least, never an arbitrary one.
+    order = [c for c in ("ord",) if c in runtime.columns]
+    picked = [F.min(F.struct(*order, *columns)).alias("__one")] if columns else []
+    r = runtime.groupBy(*KEY).agg(F.lit(True).alias("__r"), *picked).select(*KEY, "__r", *[F.col(f"__one.{c}").alias(c) for c in columns])
     out = s.join(r, KEY, "full_outer")
     if redact and "evidence" in columns and dict(runtime.dtypes)["evidence"] == "array<string>":
         out = out.withColumn("evidence", redact_evidence(F.col("evidence")))

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depweft.functions.tokens import substitute, value_from_logs
+from depweft.functions.tokens import substitute
 
 UNREADABLE, EXHAUSTED = "<secret>", "<unresolved>"
 RUNGS = ("static", "store", "preview", "deploy-log")
@@ -28,15 +28,19 @@ def declarations(tokens: DataFrame, decls: DataFrame) -> DataFrame:
 def from_store(tokens: DataFrame, store: DataFrame) -> DataFrame:
     """First entry in list order whose key is the token (any case) and whose environment fits or is absent.
 
-    ``tokens``: ref_id, name, env. ``store``: key, value, env, is_secret, store_ord, ord. An entry without environment
-    that stands before a fitting one wins, as in list order. A secret stops the search without a value.
+    ``tokens``: ref_id, name, env. ``store``: key, value, env (a name, or an array of them), is_secret, store_ord, ord. An
+    entry without environment that stands before a fitting one wins, as in list order. A secret stops the search without
+    a value. With an ``owner`` on both sides only the owner's own store counts. Of entries that agree in key, owner and
+    environment only the first can win, so each side is folded before the join: a key that every project has stays small.
     """
-    entry = F.min(F.struct("store_ord", "ord", "value", "is_secret")).alias("m")
-    keyed = tokens.withColumn("__k", F.lower("name")).join(
-        store.select(F.lower("key").alias("__k"), "value", F.col("env").alias("__env"), "is_secret", "store_ord", "ord"), "__k"
-    )
-    fits = F.col("__env").isNull() | (F.lower("__env") == F.lower("env"))
-    return keyed.filter(fits).groupBy("ref_id").agg(entry).select(
+    by = ["__k", *(["owner"] if "owner" in tokens.columns and "owner" in store.columns else [])]
+    envs = F.col("env") if dict(store.dtypes)["env"].startswith("array") else F.when(F.col("env").isNotNull(), F.array("env"))
+    each = store.select(*by[1:], F.lower("key").alias("__k"), F.explode_outer(F.transform(F.filter(envs, lambda e: e.isNotNull()), lambda e: F.lower(e))).alias("__env"), "value", "is_secret", "store_ord", "ord")
+    first = each.groupBy(*by, "__env").agg(F.min(F.struct("store_ord", "ord", "value", "is_secret")).alias("m"))
+    asked = tokens.withColumn("__k", F.lower("name"))
+    fitting = asked.withColumn("__env", F.lower("env")).join(first, [*by, "__env"]).select("ref_id", "m")
+    unscoped = asked.join(first.filter(F.col("__env").isNull()).drop("__env"), by).select("ref_id", "m")
+    return fitting.unionByName(unscoped).groupBy("ref_id").agg(F.min("m").alias("m")).select(
         "ref_id", F.when(F.col("m.is_secret"), F.lit(None)).otherwise(F.col("m.value")).alias("value"), F.coalesce("m.is_secret", F.lit(False)).alias("is_secret")
     )
 
@@ -62,10 +66,15 @@ def ladder(tokens: DataFrame, rungs: list[DataFrame]) -> DataFrame:
 
 
 def from_logs(tokens: DataFrame, logs: DataFrame) -> DataFrame:
-    """Values that deploy logs print: ``ref_id, value``; logs per repository and environment, the first that has one."""
-    joined = tokens.join(logs.select("repo", "env", "log", "ord"), ["repo", "env"])
-    hit = joined.withColumn("value", value_from_logs(F.col("log"), F.col("name"))).filter(F.col("value").isNotNull())
-    return hit.groupBy("ref_id").agg(F.min(F.struct("ord", "value")).getField("value").alias("value"))
+    """Values that deploy logs print as KEY=VALUE: ``ref_id, value``; the first line that has one, by log and line.
+
+    Lines are taken apart first, so logs and tokens meet by an equi-join on repository, environment and key.
+    """
+    line = logs.select("repo", "env", "ord", F.posexplode(F.split("log", r"\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    at = F.instr("line", "=")
+    given = line.filter(at > 1).select("repo", "env", "ord", "n", F.lower(F.substr("line", F.lit(1), at - 1)).alias("__k"), F.trim(F.substr("line", at + 1)).alias("value"))
+    first = given.filter(F.col("value") != "").groupBy("repo", "env", "__k").agg(F.min(F.struct("ord", "n", "value")).alias("m"))
+    return tokens.withColumn("__k", F.lower("name")).join(first, ["repo", "env", "__k"]).select("ref_id", "m.value")
 
 
 def static_values(refs: DataFrame) -> DataFrame:
@@ -82,7 +91,12 @@ def substituted(refs: DataFrame, values: DataFrame) -> DataFrame:
 def scope_fits(scope: Column, dimension: str, wanted: str) -> Column:
     """A dimension that is absent fits everything; else it must list the wanted value, in any case."""
     listed = scope.getField(dimension)
-    return listed.isNull() | (F.size(listed) <= 0) | F.exists(listed, lambda x: F.lower(F.trim(x)) == wanted.lower())
+    return listed.isNull() | (F.size(listed) <= 0) | F.coalesce(F.exists(listed, lambda x: F.lower(F.trim(x)) == wanted.lower()), F.lit(False))
+
+
+def fits(scope: Column, **wanted: str) -> Column:
+    """Whether a scope is compatible with what is wanted of each dimension (environment, role, tenant, channel)."""
+    return reduce(lambda a, b: a & b, [scope_fits(scope, dimension, value) for dimension, value in wanted.items()], F.lit(True))
 
 
 def best_scoped(rows: DataFrame, key: list[str], env: str, dimensions: tuple[str, ...] = ("environment", "role", "tenant", "channel")) -> DataFrame:

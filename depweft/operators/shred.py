@@ -294,6 +294,19 @@ def level_columns(df: DataFrame, key: str, document: str, leaves: list[Leaf], wr
     return map_batches(rows, run, _LEVELS)
 
 
+def record_fields(df: DataFrame, key: str, document: str, fields: dict[str, str], wrapper: str | None = None) -> DataFrame:
+    """The records themselves: ``row_key`` and a column for each of ``fields`` (column: field of the record)."""
+    rows, field = _documents(df, key, document)
+    leaves = [Leaf("", f) for f in fields.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, shredder in _shredded(batches, leaves, wrapper, field):
+            columns = [pa.array([_text(v) for v in c.values], pa.string()) for c in shredder.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *columns], names=["row_key", *fields])
+
+    return map_batches(rows, run, "row_key bigint, " + ", ".join(f"`{c}` string" for c in fields))
+
+
 _PROPERTY = (("name", "", "name"), ("value", "", "value"), ("raw_type", "type", "rawValue"), ("type", "", "type"), ("inherited", "", "inherited"))
 BUILD_TYPE_TABLES = [
     Flat("settings.property", "settings.property*", _PROPERTY),

@@ -1,9 +1,13 @@
 """Bounded breadth-first traversal over environment-scoped edges, one set-based step per level.
 
 Ties are settled by the smallest path, compared element by element; since all candidates of a level have paths of the
-same length, that is first-in-first-out order with neighbours in order of their ids. Each level's nodes are written to
-the shared folder, so lineage does not grow and a lost executor costs no more than its part. The driver only asks whether
-a level is empty.
+same length, that is first-in-first-out order with neighbours in order of their ids.
+
+A traversal of few levels over edges counted to be few is one plan: every level is the least walk of its length to each
+node, and a node's least (length, walk) is its breadth-first path, since the prefix of a least shortest walk is one. Its
+levels share their exchanges. Otherwise each level's new nodes are written to the shared folder, so lineage does not grow
+and a lost executor costs no more than its part; nodes seen before are left out, a frontier counted to be small is
+broadcast, and the driver only learns how large a level is. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -14,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweft.functions.ranks import at_least, least_trusted, weakest
-from depweft.runtime import cut
+from depweft.runtime import BROADCAST_ROWS, cut, small
 
 MAX_RELEVANT_HOPS = 3
 MAX_IMPACT_HOPS = 5
+#: Levels and edges up to which a traversal is one plan.
+PLAN_HOPS = 6
+PLAN_EDGES = 1_000_000
 
 
 def scoped(edges: DataFrame, env: str | None, min_confidence: str = "low") -> DataFrame:
@@ -26,32 +33,43 @@ def scoped(edges: DataFrame, env: str | None, min_confidence: str = "low") -> Da
     return out if min_confidence == "very-low" else out.filter(at_least(F.col("confidence"), min_confidence))
 
 
+def _step(level: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The least paths one edge further: ``node, path``."""
+    return (
+        level.join(pairs, level["node"] == pairs["src"])
+        .select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+        .groupBy("node").agg(F.min("path").alias("path"))
+    )
+
+
 def breadth_first(pairs: DataFrame, seeds: DataFrame, max_hops: int | None, target: str | None = None) -> DataFrame:
     """Every node reached from ``seeds`` (``node``) over ``pairs`` (``src, dst``): ``node, hop, path``.
 
-    ``pairs`` is read at every level, so it should be a stored table. ``path`` starts with the seed. Without ``max_hops`` it runs until nothing new is found or ``target`` is reached.
+    ``pairs`` is read at every level, so it should be a stored table. ``path`` starts with the seed. Without ``max_hops``
+    it runs until nothing new is found or ``target`` is reached.
     """
     pairs = pairs.select("src", "dst")
-    level = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), F.array("node").alias("path")))
+    start = seeds.select("node").distinct().select("node", F.array("node").alias("path"))
+    if max_hops is not None and max_hops <= PLAN_HOPS and small(pairs, PLAN_EDGES):
+        walks = [start]
+        for _ in range(max_hops):
+            walks.append(_step(walks[-1], pairs))
+        every = reduce(DataFrame.unionByName, [w.withColumn("hop", F.lit(h)) for h, w in enumerate(walks)])
+        return every.groupBy("node").agg(F.min(F.struct("hop", "path")).alias("w")).select("node", "w.hop", "w.path")
+    level = cut(start.withColumn("hop", F.lit(0)))
     levels = [level]
-    hop = 0
-    while max_hops is None or hop < max_hops:
+    size, hop = level.count(), 0
+    while size and (max_hops is None or hop < max_hops):
         hop += 1
         seen = reduce(DataFrame.unionByName, levels).select("node")
-        step = (
-            level.join(pairs, level["node"] == pairs["src"])
-            .select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-            .groupBy("node").agg(F.min("path").alias("path"))
-            .join(seen, "node", "left_anti")
-            .select("node", F.lit(hop).alias("hop"), "path")
-        )
-        level = cut(step)
-        if level.isEmpty():
-            break
+        frontier = F.broadcast(level) if size <= BROADCAST_ROWS else level
+        level = cut(_step(frontier, pairs).join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
+        counts = level.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("node") == F.lit(target)).alias("hit")).first()
+        size = counts["n"]
         levels.append(level)
-        if target is not None and not level.filter(F.col("node") == target).isEmpty():
+        if counts["hit"]:
             break
-    return reduce(DataFrame.unionByName, levels)
+    return reduce(DataFrame.unionByName, levels).select("node", "hop", "path")
 
 
 def _own_refs(edges: DataFrame) -> DataFrame:

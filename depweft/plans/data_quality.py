@@ -76,14 +76,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def p4_parameters_wide(spark: SparkSession, d: str) -> DataFrame:
+def _written(spark: SparkSession, d: str, name: str) -> DataFrame:
+    wide, attrs = _wide(spark, d, name)
+    return wide.select(*pivot.ENTITIES[name], *[pivot.written(F.col(f"`{a}`"), kind).alias(a) for a, kind in attrs])
+
+
+def p4_parameters_typed(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d, "parameters")[0]
 
 
-def p4_variables_wide(spark: SparkSession, d: str) -> DataFrame:
+def p4_variables_typed(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d, "variables")[0]
 
 
+def p4_parameters_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table with its cells as text, for comparison."""
+    return _written(spark, d, "parameters")
+
+
+def p4_variables_wide(spark: SparkSession, d: str) -> DataFrame:
+    return _written(spark, d, "variables")
+
+
 def _stamped(spark: SparkSession, d: str) -> DataFrame:
     deployments = table(spark, d, "deployments")
     return moments.stamped(
@@ -129,6 +143,8 @@ def queries() -> dict:
         "p3_entries": p3_entries,
         "p3_levels": p3_levels,
         "p4_found": p4_found,
+        "p4_parameters_typed": p4_parameters_typed,
+        "p4_variables_typed": p4_variables_typed,
         "p4_parameters_wide": p4_parameters_wide,
         "p4_variables_wide": p4_variables_wide,
         "p5_found": p5_found,
@@ -164,7 +180,7 @@ def _slots(v: str) -> str:
 
 _DECODED = """CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(ltrim(j->>'$', chr(65279) || e' \\t\\r\\n')) THEN CAST(ltrim(j->>'$', chr(65279) || e' \\t\\r\\n') AS JSON) END ELSE j END"""
 
-_OBJECTS = f"""WITH a0 AS (SELECT bt_row, CASE WHEN json_valid(ltrim(payload, chr(65279) || e' \\t\\r\\n')) THEN CAST(ltrim(payload, chr(65279) || e' \\t\\r\\n') AS JSON) END AS j FROM build_types),
+OBJECTS = f"""WITH a0 AS (SELECT bt_row, CASE WHEN json_valid(ltrim(payload, chr(65279) || e' \\t\\r\\n')) THEN CAST(ltrim(payload, chr(65279) || e' \\t\\r\\n') AS JSON) END AS j FROM build_types),
   a1 AS (SELECT bt_row, {_DECODED} AS j FROM a0), a2 AS (SELECT bt_row, {_DECODED} AS j FROM a1),
   w AS (SELECT bt_row, CASE WHEN json_exists(j, '$.buildType') THEN json_extract(j, '$.buildType') ELSE j END AS j FROM a2),
   r AS (SELECT bt_row, unnest({_slots("j")}) AS j FROM w),
@@ -193,28 +209,22 @@ _CELLS = f"""WITH x AS (SELECT 'parameters' AS tbl, buildtypeid AS entity_id, ''
   SELECT tbl, entity_id, env_id, attr, {_READ} AS val FROM p"""
 
 
-#: The catalogue's columns as SQL types. Fixed values.
+#: The catalogue's columns. Fixed values.
 _WIDE = {
-    "parameters": {
-        "BIGINT": ["build.timeout.minutes", "build.retry.count", "agent.min.memory.mb", "artifact.keep.days"],
-        "BOOLEAN": ["build.clean.checkout", "tests.run.parallel", "publish.enabled", "notify.on.failure"],
-        "DECIMAL(38,2)": ["coverage.threshold", "flaky.test.ratio"],
-        "DATE": ["licence.expires", "toolchain.frozen.until"],
-        "VARCHAR": ["artifact.channel", "solution.file", "image.base.name", "owner.team"],
-    },
-    "variables": {
-        "BIGINT": ["Cache.Ttl.Seconds", "Queue.Max.Depth", "Http.Port", "Upload.Limit.Mb"],
-        "BOOLEAN": ["Feature.NewLogin", "Audit.Enabled"],
-        "DECIMAL(38,2)": ["Sampling.Rate", "Price.Margin"],
-        "DATE": ["Certificate.ValidUntil"],
-        "VARCHAR": ["Gateway.BaseAddress", "Search.Host", "Log.Level"],
-    },
+    "parameters": [
+        "build.timeout.minutes", "build.retry.count", "agent.min.memory.mb", "artifact.keep.days", "build.clean.checkout", "tests.run.parallel", "publish.enabled", "notify.on.failure",
+        "coverage.threshold", "flaky.test.ratio", "licence.expires", "toolchain.frozen.until", "artifact.channel", "solution.file", "image.base.name", "owner.team",
+    ],
+    "variables": [
+        "Gateway.BaseAddress", "Cache.Ttl.Seconds", "Queue.Max.Depth", "Http.Port", "Feature.NewLogin", "Audit.Enabled", "Sampling.Rate", "Price.Margin", "Certificate.ValidUntil",
+        "Search.Host", "Log.Level", "Upload.Limit.Mb",
+    ],
 }
 
 
 def _wide_sql(name: str) -> str:
     entity = ", ".join(pivot.ENTITIES[name])
-    columns = ", ".join(f"""max(CASE WHEN attr = '{a}' THEN CAST(val AS {kind}) END) AS "{a}" """ for kind, attrs in _WIDE[name].items() for a in attrs)
+    columns = ", ".join(f"""max(CASE WHEN attr = '{a}' THEN val END) AS "{a}" """ for a in _WIDE[name])
     return f"SELECT {entity}, {columns} FROM ({_CELLS}) WHERE tbl = '{name}' GROUP BY {entity}"
 
 
@@ -225,12 +235,12 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"{_ORPHANS} SELECT field, id AS dep_id, status, strftime(t0, '%Y-%m') AS load_month FROM o WHERE status IS NOT NULL",
         "p2_report": f"""{_ORPHANS} SELECT 'deployments' AS tbl, field, strftime(t0, '%Y-%m') AS load_month, status, count(*) AS n_refs, count(DISTINCT key) AS n_keys
           FROM o WHERE status IS NOT NULL GROUP BY ALL""",
-        "p3_found": f"""{_OBJECTS} SELECT 'build_types' AS tbl, bt_row AS row_key, path, CAST(parent_pos AS BIGINT) AS parent_pos, pos, coalesce(CASE WHEN path IN ('vcs-root-entries.vcs-root-entry', 'steps.step') THEN o->>'id' ELSE o->>'name' END, '') AS child FROM o
+        "p3_found": f"""{OBJECTS} SELECT 'build_types' AS tbl, bt_row AS row_key, path, CAST(parent_pos AS BIGINT) AS parent_pos, pos, coalesce(CASE WHEN path IN ('vcs-root-entries.vcs-root-entry', 'steps.step') THEN o->>'id' ELSE o->>'name' END, '') AS child FROM o
           UNION ALL SELECT 'vcs_roots', vr_row, 'properties.property', 0, pos, coalesce(p.name, '') FROM v WHERE p IS NOT NULL""",
-        "p3_properties": f"""{_OBJECTS} SELECT 'build_types' AS tbl, bt_row AS row_key, path, CAST(parent_pos AS BIGINT) AS parent_pos, pos, o->>'name' AS name, o->>'value' AS value, o->'type'->>'rawValue' AS raw_type FROM o WHERE path LIKE '%property'
+        "p3_properties": f"""{OBJECTS} SELECT 'build_types' AS tbl, bt_row AS row_key, path, CAST(parent_pos AS BIGINT) AS parent_pos, pos, o->>'name' AS name, o->>'value' AS value, o->'type'->>'rawValue' AS raw_type FROM o WHERE path LIKE '%property'
           UNION ALL SELECT 'vcs_roots', vr_row, 'properties.property', 0, pos, p.name, p.value, p.type.rawvalue FROM v WHERE p IS NOT NULL""",
-        "p3_steps": f"""{_OBJECTS} SELECT bt_row AS row_key, CAST(0 AS BIGINT) AS parent_pos, pos, o->>'id' AS id, o->>'name' AS name, o->>'type' AS type FROM o WHERE path = 'steps.step'""",
-        "p3_entries": f"""{_OBJECTS} SELECT bt_row AS row_key, CAST(0 AS BIGINT) AS parent_pos, pos, o->>'id' AS id, o->>'checkout-rules' AS checkout_rules, o->'vcs-root'->>'id' AS root_id, o->'vcs-root'->>'name' AS root_name
+        "p3_steps": f"""{OBJECTS} SELECT bt_row AS row_key, CAST(0 AS BIGINT) AS parent_pos, pos, o->>'id' AS id, o->>'name' AS name, o->>'type' AS type FROM o WHERE path = 'steps.step'""",
+        "p3_entries": f"""{OBJECTS} SELECT bt_row AS row_key, CAST(0 AS BIGINT) AS parent_pos, pos, o->>'id' AS id, o->>'checkout-rules' AS checkout_rules, o->'vcs-root'->>'id' AS root_id, o->'vcs-root'->>'name' AS root_name
           FROM o WHERE path = 'vcs-root-entries.vcs-root-entry'""",
         "p4_found": f"SELECT * FROM ({_CELLS}) WHERE val IS NOT NULL",
     }

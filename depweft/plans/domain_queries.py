@@ -449,20 +449,21 @@ def best_scoped(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "j4_store_values",
     """WITH t AS (SELECT DISTINCT ownerid, lower(trim(name, ' ')) AS n FROM variables WHERE name IS NOT NULL AND ownerid IS NOT NULL),
-      s AS (SELECT ownerid, lower(trim(name, ' ')) AS n, value, coalesce(issensitive, false) AS is_secret, var_row, version, scope.environment[1] AS env FROM variables WHERE name IS NOT NULL),
+      s AS (SELECT ownerid, lower(trim(name, ' ')) AS n, value, coalesce(issensitive, false) AS is_secret, var_row, version, list_transform(list_filter(coalesce(scope.environment, []), lambda e: e IS NOT NULL), lambda e: lower(e)) AS envs
+        FROM variables WHERE name IS NOT NULL),
       f AS (SELECT t.ownerid || '/' || t.n AS ref_id, s.*, row_number() OVER (PARTITION BY t.ownerid, t.n ORDER BY version NULLS FIRST, var_row) AS r
-        FROM t JOIN s ON t.ownerid = s.ownerid AND t.n = s.n WHERE env IS NULL OR lower(env) = 'environments-1')
+        FROM t JOIN s ON t.ownerid = s.ownerid AND t.n = s.n WHERE len(envs) = 0 OR list_contains(envs, 'environments-1'))
       SELECT ref_id, CASE WHEN NOT is_secret THEN value END AS value, is_secret FROM f WHERE r = 1""",
 )
 def store_values(spark: SparkSession, d: str) -> DataFrame:
-    """Variables of each project as its store: the first entry whose environment fits or is absent, by version and row."""
+    """Variables of each project as its store: the first entry whose environments fit or are absent, by version and row."""
     v = table(spark, d, "variables").filter(F.col("name").isNotNull() & F.col("ownerid").isNotNull())
-    key = F.concat("ownerid", F.lit("/"), F.lower(F.trim("name")))
-    tokens = v.select(key.alias("ref_id"), key.alias("name"), F.lit("Environments-1").alias("env")).distinct()
+    name = F.lower(F.trim("name"))
+    tokens = v.select(F.concat("ownerid", F.lit("/"), name).alias("ref_id"), F.col("ownerid").alias("owner"), name.alias("name"), F.lit("Environments-1").alias("env")).distinct()
     store = v.select(
-        key.alias("key"), "value", F.try_element_at("scope.environment", F.lit(1)).alias("env"), F.coalesce("issensitive", F.lit(False)).alias("is_secret"),
+        F.col("ownerid").alias("owner"), name.alias("key"), "value", F.col("scope.environment").alias("env"), F.coalesce("issensitive", F.lit(False)).alias("is_secret"),
         F.col("version").alias("store_ord"), F.col("var_row").alias("ord"),
-    ).distinct()
+    )
     return resolve.from_store(tokens, store)
 
 
@@ -503,7 +504,7 @@ def first_declarations(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "a12_winning_facts",
     """WITH f AS (SELECT 'r' || l_suppkey AS repo, 'k' || (l_partkey % 20) AS key, 'v' || l_partkey AS value, 'f' || l_partkey || '.json' AS source, 1 + l_linenumber % 2 AS layer,
-        CASE WHEN l_returnflag = 'A' THEN 'prod.eu' WHEN l_returnflag = 'N' THEN 'prod' END AS condition FROM lineitem WHERE l_quantity >= 45),
+        CASE WHEN l_returnflag = 'A' THEN 'prod.eu' WHEN l_returnflag = 'N' THEN 'prod' END AS condition FROM lineitem),
       r AS (SELECT *, row_number() OVER (PARTITION BY repo, key ORDER BY layer DESC, coalesce(length(condition) - length(replace(condition, '.', '')), 0) DESC, source, value, condition NULLS FIRST) AS n FROM f)
       SELECT repo, key, value, source, condition, layer FROM r WHERE n = 1""",
 )
@@ -521,8 +522,8 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a13_truncated_facts",
-    """WITH f AS (SELECT 'r' || l_suppkey AS repo, 'k' || (l_partkey % 20) AS key, 'v' || l_partkey AS value FROM lineitem WHERE l_quantity >= 45),
-      b AS (SELECT repo, sum(octet_length(encode(value))) > 150 AS truncated FROM f GROUP BY repo),
+    """WITH f AS (SELECT 'r' || l_suppkey AS repo, 'k' || (l_partkey % 20) AS key, 'v' || l_partkey AS value FROM lineitem),
+      b AS (SELECT repo, sum(octet_length(encode(value))) > 10000000 AS truncated FROM f GROUP BY repo),
       k AS (SELECT repo, key, count(*) AS n, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, key) AS r, count(*) OVER (PARTITION BY repo) AS c FROM f GROUP BY repo, key)
       SELECT repo, key, n, truncated FROM k JOIN b USING (repo) WHERE NOT truncated OR r <= c // 2""",
 )
@@ -683,7 +684,7 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     edges = stream.select(F.concat(F.lit("u"), F.col("user_id") % 50).alias("from_id"), F.col("event_type").alias("to_id"), F.lit("prod").alias("env"), F.col("ts").cast("timestamp").alias("at"))
-    counted = observed.windowed_counts(edges, "1 hour", late="36500 days").select("from_id", "to_id", "env", "window_start", "sample_count")
+    counted = observed.windowed_counts(edges, "1 hour", late="2 hours").select("from_id", "to_id", "env", "window_start", "sample_count")
     observed.into(counted, lambda b: b.write.mode("append").parquet(f"{root}/out"), f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out")
 

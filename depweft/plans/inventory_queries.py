@@ -168,7 +168,7 @@ def contracts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j6_facts_first", """WITH f AS (SELECT 'r' || l_suppkey AS repo, 'k' || (l_partkey % 20) AS name, 'v' || l_partkey AS value, 'f' || l_partkey || '.json' AS source, 1 + l_linenumber % 2 AS layer,
-    CASE WHEN l_returnflag = 'A' THEN 'prod.eu' WHEN l_returnflag = 'N' THEN 'prod' END AS condition FROM lineitem WHERE l_quantity >= 45),
+    CASE WHEN l_returnflag = 'A' THEN 'prod.eu' WHEN l_returnflag = 'N' THEN 'prod' END AS condition FROM lineitem),
   w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY layer DESC, coalesce(length(condition) - length(replace(condition, '.', '')), 0) DESC, source, value, condition NULLS FIRST) AS n FROM f) WHERE n = 1)
   SELECT 'r' || s_suppkey AS repo, 'k' || s_nationkey AS name, w.value AS fact, CASE WHEN w.value IS NOT NULL THEN 0 ELSE -1 END AS rung FROM supplier LEFT JOIN w ON w.repo = 'r' || s_suppkey AND w.name = 'k' || s_nationkey""")
 def facts_first(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +226,7 @@ def roles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a14_value_sets", """WITH f AS (SELECT DISTINCT 'r' || l_suppkey AS repo, 'k' || (l_partkey % 20) AS key, 'v' || l_partkey AS value, 1 + l_linenumber % 2 AS layer, 'f' || l_partkey || '.json' AS source,
-    CASE WHEN l_returnflag = 'A' THEN 'prod.eu' WHEN l_returnflag = 'N' THEN 'prod' END AS condition FROM lineitem WHERE l_quantity >= 45)
+    CASE WHEN l_returnflag = 'A' THEN 'prod.eu' WHEN l_returnflag = 'N' THEN 'prod' END AS condition FROM lineitem)
   SELECT repo, key, string_agg(value || '@' || layer, ',' ORDER BY layer DESC, value, source, condition NULLS FIRST) AS entries FROM f GROUP BY ALL""")
 def value_sets(spark: SparkSession, d: str) -> DataFrame:
     sets = extract.value_sets(_facts(spark, d))
@@ -234,7 +234,7 @@ def value_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e11_static_values", """SELECT 'r' || l_suppkey AS repo, 'prod' AS env, 'k' || l_linenumber AS name, max_by('v' || l_partkey, (l_orderkey, 'v' || l_partkey)) AS value
-  FROM lineitem WHERE l_partkey % 3 <> 0 AND l_quantity >= 45 GROUP BY l_suppkey, l_linenumber""")
+  FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY l_suppkey, l_linenumber""")
 def static_values(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "lineitem").select(
         F.concat(F.lit("r"), "l_suppkey").alias("repo"), F.lit("prod").alias("env_hint"), F.concat(F.lit("k"), "l_linenumber").alias("name"),

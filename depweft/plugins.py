@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import os
+import urllib.error
+import urllib.request
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from importlib.metadata import entry_points
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from depweft.runtime import map_batches
 
 CONTRACT = (1, 0, 0)
 FAMILIES = ("vcs", "cicd", "extractor", "telemetry", "store", "llm", "intra")
@@ -54,6 +63,59 @@ class LlmPlugin(Plugin):
     def answer(self, requests: DataFrame) -> DataFrame: ...
 
 
+class ChatCompletions(LlmPlugin):
+    """Answers from an endpoint of the chat-completions form, asked by the tasks themselves, one request after the other.
+
+    An answer is the JSON object that the prompt asks for; its fields become columns. Time-outs, refusals (429) and other
+    faults leave the answer null and name the fault in ``error``; nothing is asked twice. The key is read from an
+    environment variable of the executors, so it enters no plan.
+    """
+
+    name = "chat-completions"
+
+    def __init__(self, endpoint: str, model: str, key_variable: str = "DEPWEFT_LLM_KEY", timeout: float = 60.0) -> None:
+        self.endpoint, self.model, self.key_variable, self.timeout = endpoint.rstrip("/"), model, key_variable, timeout
+
+    def capabilities(self) -> dict[str, bool]:
+        return {"chat_completions": True, "structured_output": True}
+
+    def ask(self, prompt: str) -> tuple[dict, str | None]:
+        """(the answer's object, the fault) of one prompt."""
+        body = {"model": self.model, "temperature": 0, "response_format": {"type": "json_object"}, "messages": [{"role": "user", "content": prompt}]}
+        headers = {"Content-Type": "application/json"}
+        if key := os.environ.get(self.key_variable):
+            headers["Authorization"] = f"Bearer {key}"
+        request = urllib.request.Request(f"{self.endpoint}/chat/completions", json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                found = json.loads(json.load(reply)["choices"][0]["message"]["content"])
+            return (found, None) if isinstance(found, dict) else ({}, "malformed")
+        except urllib.error.HTTPError as e:
+            return {}, "rate-limited" if e.code == 429 else "endpoint-error"
+        except TimeoutError:
+            return {}, "timeout"
+        except urllib.error.URLError as e:
+            return {}, "timeout" if isinstance(e.reason, TimeoutError) else "endpoint-error"
+        except (ValueError, LookupError, TypeError):
+            return {}, "malformed"
+
+    def answer(self, requests: DataFrame) -> DataFrame:
+        """``cache_key, decision, candidate, value, identity_class, reasoning, error`` for ``cache_key, prompt``."""
+        fields = {"decision": "decision", "candidate": "candidate_id", "value": "resolved_value", "identity_class": "identity_class", "reasoning": "reasoning"}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for key, prompt in zip(*(c.to_pylist() for c in batch.columns)):
+                    found, fault = self.ask(prompt or "")
+                    rows.append((key, *(None if found.get(f) is None else str(found[f]) for f in fields.values()), fault))
+                cols = list(zip(*rows)) or [[]] * (len(fields) + 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["cache_key", *fields, "error"])
+
+        distinct = requests.groupBy("cache_key").agg(F.min("prompt").alias("prompt"))
+        return map_batches(distinct, run, ", ".join(f"{c} string" for c in ("cache_key", *fields, "error")))
+
+
 @dataclass(frozen=True)
 class Manifest:
     name: str

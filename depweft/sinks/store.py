@@ -1,7 +1,8 @@
 """The graph kept as Parquet: node and edge tables, upserts as new versions of whole tables.
 
-Every write replaces a table by a new version folder and then the pointer to it, so a reader never sees half a write.
-Edges are partitioned by environment, which prunes scans of one environment.
+Every write makes a new version folder, which counts once it is complete, so a reader never sees half a write; two
+versions are kept. Edges are partitioned by environment, which prunes scans of one environment, and within it sorted by
+ranges of their keys.
 """
 
 from __future__ import annotations
@@ -33,17 +34,32 @@ EDGES = {
 KEY = ["from_id", "to_id", "env"]
 
 
+def last(rows: DataFrame, key: list[str], columns: list[str], ordinal: str = "ord", first: bool = False) -> DataFrame:
+    """One row per key: the last (or first) by the ordinal, if there is one, and by the columns themselves."""
+    order = [*([ordinal] if ordinal in rows.columns else []), *columns]
+    if not order:
+        return rows.select(*key).distinct()
+    pick = (F.min if first else F.max)(F.struct(*order)).alias("__one")
+    return rows.groupBy(*key).agg(pick).select(*key, *[F.col(f"__one.{c}").alias(c) for c in columns])
+
+
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Old rows merged with new ones by key: new values win, columns that new rows lack or leave null keep the old."""
+    """Old rows merged with new ones by key: new values win, columns that new rows lack or leave null keep the old.
+
+    Of new rows with one key the last by ``ord`` wins, without it the greatest.
+    """
     rest = [c for c in old.columns if c not in key]
-    renamed = new.select(*key, *[F.col(c).alias(f"__{c}") for c in rest if c in new.columns]).dropDuplicates(key)
+    renamed = last(new, key, [c for c in rest if c in new.columns]).select(*key, *[F.col(c).alias(f"__{c}") for c in rest if c in new.columns])
     joined = old.join(renamed, key, "full_outer")
     return joined.select(*key, *[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in new.columns else F.col(c) for c in rest])
 
 
 def inserted(old: DataFrame, new: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Old edges and those new ones whose (from, to, env) is not there yet and whose end nodes exist."""
-    fresh = new.dropDuplicates(KEY).join(old.select(*KEY), KEY, "left_anti")
+    """Old edges and those new ones whose (from, to, env) is not there yet and whose end nodes exist.
+
+    Of new edges with one key the first by ``ord`` counts, without it the least.
+    """
+    fresh = last(new, KEY, [c for c in old.columns if c not in KEY and c in new.columns], first=True).join(old.select(*KEY), KEY, "left_anti")
     if nodes is not None:
         ids = nodes.select("id").distinct()
         fresh = fresh.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
@@ -80,8 +96,16 @@ class GraphStore:
                 self._write(name, self.spark.createDataFrame([], schema))
 
     def _write(self, name: str, df: DataFrame) -> None:
-        out = df.write.partitionBy("env") if name in EDGES else df.write
-        out.parquet(f"{self.root}/{name}/v{self._version(name) + 1}")
+        """A new version; edges by environment and, within it, by ranges of their keys, so no task has a whole environment.
+
+        The version before stays for readers that began on it; older ones are removed.
+        """
+        version = self._version(name) + 1
+        out = df.repartitionByRange(*["env", *KEY[:2]]).sortWithinPartitions(*KEY).write.partitionBy("env") if name in EDGES else df.write
+        out.parquet(f"{self.root}/{name}/v{version}")
+        for old in range(max(1, version - 3), version - 1):
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v{old}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def read(self, name: str) -> DataFrame:
         schema = (NODES | EDGES)[name]
@@ -97,7 +121,7 @@ class GraphStore:
         """Edges of a build in order of (from, to, env); end nodes that are missing are created."""
         ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
         self.upsert_nodes("Deployable", ends.select("id", F.col("id").alias("repo_id"), F.lit("service").alias("kind"), F.col("id").alias("name")))
-        self.insert_edges("DEPENDS_ON", edges.repartition("env").sortWithinPartitions(*KEY))
+        self.insert_edges("DEPENDS_ON", edges)
 
     def write_runtime(self, runtime_only: DataFrame) -> None:
         """Runtime-only edges as observed ones, unless the pair is there in that environment."""
@@ -105,8 +129,9 @@ class GraphStore:
 
 
 def cached(cache: DataFrame, answers: DataFrame) -> DataFrame:
-    """A response cache with new answers put in; the first answer to a key stays."""
-    return cache.unionByName(answers.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti").select(*cache.columns))
+    """A response cache with new answers put in; the first answer to a key stays, by ``ord`` if there is one."""
+    columns = [c for c in cache.columns if c != "cache_key"]
+    return cache.unionByName(last(answers, ["cache_key"], columns, first=True).join(cache.select("cache_key"), "cache_key", "left_anti").select(*cache.columns))
 
 
 def report_json(report: DataFrame) -> DataFrame:

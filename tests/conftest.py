@@ -21,9 +21,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from depweft.runtime import ship
-
-    ship(session)
     yield session
     session.stop()
 

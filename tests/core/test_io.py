@@ -159,3 +159,58 @@ def test_plugins_and_config(tmp_path, monkeypatch):
     assert config.setting("files", "llm", 20, str(tmp_path)) == 7
     monkeypatch.setenv("DEPWEFT_LLM_FILES", "9")
     assert config.setting("files", "llm", 20, str(tmp_path)) == 9 and config.setting("none", "llm", "d", str(tmp_path)) == "d"
+
+
+def test_chat_completions(spark):
+    """A live provider over HTTP: answers become columns, faults are named, equal keys are asked once."""
+    import http.server
+    import json
+    import threading
+
+    asked = []
+
+    class Endpoint(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            prompt = body["messages"][0]["content"]
+            asked.append(prompt)
+            if prompt == "busy":
+                self.send_error(429)
+                return
+            content = json.dumps({"resolved_value": "v-" + prompt, "reasoning": "seen"}) if prompt != "odd" else "no json"
+            reply = json.dumps({"choices": [{"message": {"content": content}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(reply)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        plugin = plugins.ChatCompletions(f"http://127.0.0.1:{server.server_port}", "m", timeout=5)
+        requests = spark.createDataFrame([("k1", "a"), ("k1", "a"), ("k2", "busy"), ("k3", "odd")], "cache_key string, prompt string")
+        out = plugin.answer(requests).select("cache_key", "value", "reasoning", "error").collect()
+        assert sorted(map(tuple, out)) == [("k1", "v-a", "seen", None), ("k2", None, None, "rate-limited"), ("k3", None, None, "malformed")]
+        assert sorted(asked) == ["a", "busy", "odd"]
+        gone = plugins.ChatCompletions("http://127.0.0.1:9", "m", timeout=2)
+        assert gone.ask("x") == ({}, "endpoint-error")
+    finally:
+        server.shutdown()
+
+
+def test_versions_and_winners(spark, tmp_path):
+    """Of rows with one key the last by its order wins among nodes, the first among edges; old versions go."""
+    store = GraphStore(spark, str(tmp_path / "s"))
+    store.initialise()
+    rows_ = [("a", "r1", 2), ("a", "r2", 5), ("a", "r3", 1)]
+    store.upsert_nodes("Deployable", spark.createDataFrame([(i, r, "service", i, o) for i, r, o in rows_], "id string, repo_id string, kind string, name string, ord int"))
+    assert [r["repo_id"] for r in store.read("Deployable").collect()] == ["r2"]
+    edge = "from_id string, to_id string, env string, confidence string, ord int"
+    store.insert_edges("DEPENDS_ON", spark.createDataFrame([("a", "b", "prod", "low", 7), ("a", "b", "prod", "high", 3)], edge))
+    assert [r["confidence"] for r in store.read("DEPENDS_ON").collect()] == ["high"]
+    for n in range(4):
+        store.insert_edges("DEPENDS_ON", spark.createDataFrame([(f"x{n}", "b", "prod", "low", 7)], edge))
+    assert store.read("DEPENDS_ON").count() == 5
+    assert sorted(p.name for p in (tmp_path / "s" / "DEPENDS_ON").iterdir() if p.name[0] == "v") == ["v5", "v6"]

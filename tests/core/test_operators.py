@@ -119,7 +119,7 @@ def test_extraction(spark):
     assert rows(extract.repo_kinds(files)) == [("q", False, True, False), ("r", True, False, True)]
     assert rows(extract.xml_settings(files)) == []
     assert [r[2:] for r in rows(extract.json_settings(files))] == [("A.BaseUrl", "BaseUrl", "x")]
-    assert rows(extract.file_facts(files).select("key", "value", "condition")) == [("A:BaseUrl", "x", None)]
+    assert rows(extract.file_facts(files).select("key", "value", "condition")) == [("A:BaseUrl", "x", None), ("A:N", "1", None)]
 
 
 def test_attribution(spark):
@@ -154,3 +154,66 @@ def test_judge_dispositions(spark):
     assert [r[:2] for r in rows(out.select("ref_id", "disposition"))] == [("1", "edge"), ("2", "malformed"), ("3", "no-proposal"), ("4", "no-proposal"), ("5", "malformed"), ("6", "over-budget")]
     assert rows(judge.judged_edges(out)) == [("web", "ui", "prod", "llm-judged", "low")]
     assert judge.mode(None, "hybrid") == "hybrid" and judge.mode(None) == "structured"
+
+
+def test_hot_identity_is_salted(spark, monkeypatch):
+    """A gateway that most references name: the same candidates as by broadcast, with its rows copied for salts only."""
+    ids = [("r1", "network", "gw.example.com", "prod"), ("r2", "network", "gw.example.com", None), ("r3", "network", "api.example.com", "prod")]
+    asked = [(f"x{i}", "https://gw.example.com/a", "prod") for i in range(60)] + [("y", "https://api.example.com/b", "dev")]
+    want = rows(identity.project(refs(spark, asked), index(spark, ids)))
+    seen = []
+    join = identity.salted_join
+    monkeypatch.setattr(identity, "small", lambda df: False)
+    monkeypatch.setattr("depweft.runtime.HOT_ROWS", 20)
+    monkeypatch.setattr(identity, "salted_join", lambda a, b, keys, hot, by: seen.append(len(hot)) or join(a, b, keys, hot, by))
+    assert rows(identity.project(refs(spark, asked), index(spark, ids))) == want
+    assert seen and seen[0] > 0 and len(want) == 61
+
+
+def test_salted_join_keeps_nulls_and_all_rows(spark):
+    from depweft.runtime import salted_join
+
+    left = spark.createDataFrame([("a", i) for i in range(40)] + [("b", 99), (None, 100), ("c", 101)], "k string, n int")
+    right = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), (None, "w")], "k string, v string")
+    hot = [r for r in right.select("k").distinct().collect() if r["k"] == "a"]
+    for how in ("inner", "left"):
+        assert rows(salted_join(left, right, ["k"], hot, ["n"], how)) == rows(left.join(right, ["k"], how))
+
+
+def test_store_folds_before_it_joins(spark):
+    """A key that every owner has: the store meets the tokens by owner, in list order, over all environments of a scope."""
+    store = spark.createDataFrame(
+        [("o1", "Url", "one", ["Prod", "dev"], False, 1, 1), ("o1", "url", "later", ["prod"], False, 1, 2), ("o2", "URL", "any", None, False, 1, 1), ("o2", "url", "p", ["prod"], False, 0, 9), ("o3", "url", "s", [], True, 1, 1), ("o4", "url", "x", ["qa"], False, 1, 1)],
+        "owner string, key string, value string, env array<string>, is_secret boolean, store_ord int, ord int",
+    )
+    asked = spark.createDataFrame([(f"t{i}", f"o{i}", "url", "PROD") for i in range(1, 5)], "ref_id string, owner string, name string, env string")
+    assert rows(resolve.from_store(asked, store)) == [("t1", "one", False), ("t2", "p", False), ("t3", None, True)]
+
+
+def test_logs_are_taken_apart_before_they_join(spark):
+    logs = spark.createDataFrame([("r", "prod", "x\n URL=\nurl = no\r\nUrl=first=1 \nURL=second", 1), ("r", "prod", "URL=zero", 0), ("q", "prod", "=v\nNAME=n", 0)], "repo string, env string, log string, ord int")
+    asked = spark.createDataFrame([("t1", "r", "url", "prod"), ("t2", "q", "Name", "prod"), ("t3", "q", "Name", "dev")], "ref_id string, repo string, name string, env string")
+    assert rows(resolve.from_logs(asked, logs)) == [("t1", "zero"), ("t2", "n")]
+    assert rows(resolve.from_logs(asked, logs.filter("ord > 0"))) == [("t1", "first=1")]
+
+
+def test_file_facts_order_and_forms(spark):
+    files = spark.createDataFrame(
+        [
+            ("r", "b/appsettings.prod.eu.json", '{"A": {"n": 1.50, "t": true, "z": null, "l": [1, {"x": 2}]}}'), ("r", "appsettings.prod.json", '{"A": {"n": 1e2}}'),
+            ("r", "a/AppSettings.json", '\ufeff{"A": {"n": "base"}}'), ("r", "x/appsettings.json", "{bad"),
+            ("r", "Web.config", '<c><appSettings><add key="k" value="1"/><add key="n"/></appSettings><appSettings><add key="k" value="2"/></appSettings></c>'),
+        ],
+        "repo string, path string, content string",
+    )
+    out = [tuple(r) for r in extract.file_facts(files).orderBy("rank", "source", "key").select("source", "key", "value", "condition", "rank").collect()]
+    assert out == [
+        ("Web.config", "k", "1", None, 1), ("a/AppSettings.json", "A:n", "base", None, 1), ("appsettings.prod.json", "A:n", "1e2", "appsettings.prod.json", 2),
+        ("b/appsettings.prod.eu.json", "A:l", '[1,{"x":2}]', "appsettings.prod.eu.json", 3), ("b/appsettings.prod.eu.json", "A:n", "1.50", "appsettings.prod.eu.json", 3),
+        ("b/appsettings.prod.eu.json", "A:t", "true", "appsettings.prod.eu.json", 3), ("b/appsettings.prod.eu.json", "A:z", "", "appsettings.prod.eu.json", 3),
+    ]
+
+
+def test_static_assets(spark):
+    for value, static in (("/a/b.WOFF2?v=1", True), ("/a.jpeg", False), ("/{x}.css", False)):
+        assert col(spark, value, extract.is_static_asset) is static

@@ -36,8 +36,10 @@ def model(pairs, seeds, hops):
     return sorted((n, h, " > ".join(p)) for n, (h, p) in found.items())
 
 
+@pytest.mark.parametrize("one_plan", [True, False])
 @pytest.mark.parametrize("seed", range(4))
-def test_breadth_first_against_a_model(spark, seed):
+def test_breadth_first_against_a_model(spark, seed, one_plan, monkeypatch):
+    monkeypatch.setattr(traversal, "PLAN_EDGES", 1_000_000 if one_plan else 0)
     rng = random.Random(seed)
     pairs = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(rng.randrange(5, 30))]
     seeds = sorted({f"n{rng.randrange(12)}" for _ in range(2)})
