@@ -205,12 +205,22 @@ def _cascade(names: tuple[str, ...]) -> Cascade:
 def cascade_for(block: str, lang: str | None) -> Cascade:
     """The cascade for one block: the tables of the script that most of its letters outside Latin belong to, unless these
     are few among its letters; among the Latin ones the document's label comes first."""
-    if not block.isascii() and _NOT_LATIN.search(block):
-        counts = [len(pattern.findall(block)) for pattern, _ in SCRIPTS]
+    found = None if block.isascii() else _NOT_LATIN.search(block)
+    if found:
+        outside = len(block) - len(block.encode("ascii", "ignore"))
+        first = next((i for i, (pattern, _) in enumerate(SCRIPTS) if pattern.match(found[0])), None)
+        counts = [0] * len(SCRIPTS)
+        if first is not None:
+            counts[first] = len(SCRIPTS[first][0].findall(block))
+        if first in (0, 1):
+            counts[1 - first] = len(SCRIPTS[1 - first][0].findall(block))
+        if 2 * sum(counts) <= outside:  # several scripts
+            counts = [len(pattern.findall(block)) for pattern, _ in SCRIPTS]
         kana, han = counts[0], counts[1]
-        counts[0], counts[1] = (kana + han, 0) if kana * HAN_PER_KANA >= han else (0, kana + han)
+        if kana or han:
+            counts[0], counts[1] = (kana + han, 0) if kana * HAN_PER_KANA >= han else (0, kana + han)
         most = max(counts)
-        if most and most * FOREIGN_SHARE >= len(_LATIN_LETTER.findall(block)):
+        if most and (2 * most > len(block) or most * FOREIGN_SHARE >= len(_LATIN_LETTER.findall(block))):
             return _cascade((*SCRIPTS[counts.index(most)][1], *LATIN))
     label = (lang or "").strip().lower()[:2]
     return _cascade(tuple(dict.fromkeys((label, *LATIN) if label in LATIN else LATIN)))
