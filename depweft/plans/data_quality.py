@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweft.operators import moments, orphans, pivot, shred
+from depweft.plans.moments_sql import found_sql, report_sql
 from depweft.runtime import table
 
 
@@ -230,6 +231,8 @@ def _wide_sql(name: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": found_sql(_SPACES, _trim("value")),
+        "p5_report": report_sql(_SPACES, _trim("value")),
         "p4_parameters_wide": _wide_sql("parameters"),
         "p4_variables_wide": _wide_sql("variables"),
         "p2_found": f"{_ORPHANS} SELECT field, id AS dep_id, status, strftime(t0, '%Y-%m') AS load_month FROM o WHERE status IS NOT NULL",

@@ -174,11 +174,16 @@ def full_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f13_redacted",
-    """SELECT c_custkey, 'GET /x?api_key=[REDACTED]&token=[REDACTED] Authorization: Bearer [REDACTED] from ' || c_name AS line FROM customer""",
+    r"""WITH v AS (SELECT var_row, 'GET /' || name || '?api_key=' || value || '&token=' || value || '&key=x Authorization: ' || CASE WHEN var_row % 2 = 0 THEN 'Bearer ' ELSE 'Basic ' END || value AS x FROM variables WHERE name IS NOT NULL AND value IS NOT NULL)
+      SELECT var_row, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, 'Bearer\s+\S+', 'Bearer [REDACTED]', 'g'), 'Basic\s+\S+', 'Basic [REDACTED]', 'g'),
+        '(api_key=)[^&\s]+', '\1[REDACTED]', 'g'), '(token=)[^&\s]+', '\1[REDACTED]', 'g'), '(key=)[^&\s]+', '\1[REDACTED]', 'g') AS line FROM v""",
 )
 def redacted(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("GET /x?api_key=k"), "c_custkey", F.lit("&token=t"), "c_nationkey", F.lit(" Authorization: Bearer b"), "c_custkey", F.lit(" from "), "c_name")
-    return table(spark, d, "customer").select("c_custkey", T.redact(raw).alias("line"))
+    """Requests made of every variable's name and value, whatever stands in them."""
+    value = F.col("value")
+    scheme = F.when(F.col("var_row") % 2 == 0, "Bearer ").otherwise("Basic ")
+    raw = F.concat(F.lit("GET /"), "name", F.lit("?api_key="), value, F.lit("&token="), value, F.lit("&key=x Authorization: "), scheme, value)
+    return table(spark, d, "variables").filter(F.col("name").isNotNull() & value.isNotNull()).select("var_row", T.redact(raw).alias("line"))
 
 
 @query(

@@ -39,14 +39,14 @@ def _suppliers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier")
 
 
-@query("s1_github_listing", "SELECT 'github' AS provider, 'o' || s_nationkey AS org, 's' || s_suppkey AS name, 'https://git.test/o' || s_nationkey || '/s' || s_suppkey || '.git' AS url, CASE WHEN s_suppkey % 2 = 0 THEN 'main' ELSE 'trunk' END AS default_branch FROM supplier")
+@query(
+    "s1_github_listing",
+    """SELECT 'github' AS provider, coalesce(owner.login, CASE WHEN full_name IS NOT NULL THEN split_part(full_name, '/', 1) END) AS org, name, clone_url AS url, coalesce(nullif(default_branch, ''), 'main') AS default_branch FROM repos""",
+)
 def github_listing(spark: SparkSession, d: str) -> DataFrame:
-    org = F.concat(F.lit("o"), "s_nationkey")
-    r = F.struct(
-        _name("s").alias("name"), F.struct(org.alias("login")).alias("owner"), F.concat(F.lit("https://git.test/"), org, F.lit("/s"), "s_suppkey", F.lit(".git")).alias("clone_url"),
-        F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("trunk").alias("default_branch"),
-    )
-    pages = _suppliers(spark, d).groupBy(F.pmod("s_suppkey", F.lit(32)).alias("page")).agg(F.to_json(F.collect_list(r)).alias("body"))
+    """The table of repositories written as the pages that the service lists, with null parts left out, and read again."""
+    r = F.struct("name", "full_name", "owner", "clone_url", "default_branch")
+    pages = table(spark, d, "repos").groupBy(F.pmod("id", F.lit(32)).alias("page")).agg(F.to_json(F.collect_list(r)).alias("body"))
     return vcs.github_repos(pages)
 
 
@@ -68,10 +68,12 @@ def trees(spark: SparkSession, d: str) -> DataFrame:
     return vcs.github_tree(_suppliers(spark, d).select(_name("r").alias("repo"), F.to_json(F.struct(tree.alias("tree"))).alias("body"))).withColumn("size", F.coalesce("size", F.lit(0)))
 
 
-@query("s5_contents", "SELECT 'r' || s_suppkey AS repo, 'README' AS path, 'größe ' || s_name AS content FROM supplier")
+@query("s5_contents", "SELECT 'r' || doc_id AS repo, source AS path, text AS content FROM documents WHERE text IS NOT NULL")
 def contents(spark: SparkSession, d: str) -> DataFrame:
-    body = F.struct(F.lit("README").alias("path"), F.lit("base64").alias("encoding"), F.base64(F.encode(F.concat(F.lit("größe "), "s_name"), "utf-8")).alias("content"))
-    return vcs.github_content(_suppliers(spark, d).select(_name("r").alias("repo"), F.to_json(body).alias("body")))
+    """Documents as the service hands out files: base64 of UTF-8, in all languages and line ends."""
+    body = F.struct(F.col("source").alias("path"), F.lit("base64").alias("encoding"), F.base64(F.encode("text", "utf-8")).alias("content"))
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull())
+    return vcs.github_content(docs.select(F.concat(F.lit("r"), "doc_id").alias("repo"), F.to_json(body).alias("body")))
 
 
 @query("s9_deploy_projects", "SELECT 'P' || s_suppkey AS project, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'https://git.test/' || s_suppkey END AS persistence_url FROM supplier")
@@ -82,20 +84,35 @@ def deploy_projects(spark: SparkSession, d: str) -> DataFrame:
     return cicd.deploy_projects(pages)
 
 
-@query("s11_scoped_variables", "SELECT 'P' || s_suppkey AS owner, 0 AS ord, 'Url' AS key, CASE WHEN s_suppkey % 3 <> 0 THEN 'v' || s_suppkey END AS value, s_suppkey % 3 = 0 AS is_secret, 'Environments-' || s_nationkey AS envs FROM supplier")
+@query(
+    "s11_scoped_variables",
+    """SELECT ownerid AS owner, row_number() OVER (PARTITION BY ownerid ORDER BY var_row, version) - 1 AS ord, name AS key, CASE WHEN NOT (coalesce(issensitive, false) OR coalesce(vartype = 'Sensitive', false)) THEN value END AS value,
+      coalesce(issensitive, false) OR coalesce(vartype = 'Sensitive', false) AS is_secret, array_to_string(scope.environment, ',') AS envs FROM variables WHERE ownerid IS NOT NULL""",
+)
 def scoped_variables(spark: SparkSession, d: str) -> DataFrame:
+    """Each project's variables as the payload of its variable set, in order of their rows."""
     v = F.struct(
-        F.lit("Url").alias("Name"), _name("v").alias("Value"), F.struct(F.array(F.concat(F.lit("Environments-"), "s_nationkey")).alias("Environment")).alias("Scope"),
-        F.when(F.col("s_suppkey") % 3 == 0, "Sensitive").otherwise("String").alias("Type"),
+        "var_row", "version", F.col("name").alias("Name"), F.col("value").alias("Value"), F.col("issensitive").alias("IsSensitive"), F.col("vartype").alias("Type"),
+        F.when(F.col("scope").isNotNull(), F.struct(F.col("scope.environment").alias("Environment"), F.col("scope.role").alias("Role"))).alias("Scope"),
+    )
+    bodies = table(spark, d, "variables").filter(F.col("ownerid").isNotNull()).groupBy("ownerid").agg(F.array_sort(F.collect_list(v)).alias("v"))
+    return cicd.scoped_variables(bodies.select(F.to_json(F.struct(F.col("ownerid").alias("OwnerId"), F.col("v").alias("Variables"))).alias("body"))).select(
+        "owner", "ord", "key", "value", "is_secret", F.array_join("scope.environment", ",").alias("envs")
     )
-    body = F.to_json(F.struct(_name("P").alias("OwnerId"), F.array(v).alias("Variables")))
-    return cicd.scoped_variables(_suppliers(spark, d).select(body.alias("body"))).select("owner", "ord", "key", "value", "is_secret", F.array_join("scope.environment", ",").alias("envs"))
 
 
-@query("s13_vars_and_secrets", "SELECT 'r' || s_suppkey AS owner, 'prod' AS env, 'A' AS key, s_name AS value, false AS is_secret FROM supplier UNION ALL SELECT 'r' || s_suppkey, 'prod', 'S' || s_nationkey, '[MASKED]', true FROM supplier")
+@query(
+    "s13_vars_and_secrets",
+    """WITH p AS (SELECT buildtypeid AS owner, name, coalesce(bool_or(contains(lower(ptype), 'password')), false) AS secret, max(value) AS value FROM parameters WHERE buildtypeid IS NOT NULL AND name IS NOT NULL GROUP BY ALL)
+      SELECT owner, 'prod' AS env, name AS key, CASE WHEN secret THEN '[MASKED]' ELSE value END AS value, secret AS is_secret FROM p WHERE secret OR value IS NOT NULL""",
+)
 def vars_and_secrets(spark: SparkSession, d: str) -> DataFrame:
-    body = F.struct(F.create_map(F.lit("A"), "s_name").alias("vars"), F.array(F.concat(F.lit("S"), "s_nationkey")).alias("secrets"))
-    return cicd.vars_and_secrets(_suppliers(spark, d).select(_name("r").alias("owner"), F.lit("prod").alias("env"), F.to_json(body).alias("body")))
+    """Parameters of each build as one environment's variables and names of secrets."""
+    p = table(spark, d, "parameters").filter(F.col("buildtypeid").isNotNull() & F.col("name").isNotNull())
+    p = p.groupBy("buildtypeid", "name").agg(F.coalesce(F.bool_or(F.lower("ptype").contains("password")), F.lit(False)).alias("secret"), F.max("value").alias("value"))
+    plain = F.collect_list(F.when(~F.col("secret") & F.col("value").isNotNull(), F.struct("name", "value")))
+    body = F.struct(F.map_from_entries(plain).alias("vars"), F.collect_list(F.when(F.col("secret"), F.col("name"))).alias("secrets"))
+    return cicd.vars_and_secrets(p.groupBy(F.col("buildtypeid").alias("owner"), F.lit("prod").alias("env")).agg(F.to_json(body).alias("body")))
 
 
 _YAML = "SELECT 'r' || s_suppkey AS repo, 'go' || s_nationkey AS pipeline, 'deploy' AS role, CASE WHEN s_suppkey % 2 = 0 THEN 'prod' ELSE 'dev' END AS env FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT 'r' || s_suppkey, '', 'build', NULL FROM supplier WHERE s_suppkey % 5 = 0"

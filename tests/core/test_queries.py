@@ -22,8 +22,6 @@ MODELS = {
     "p3_levels": ("test_shred", "test_round_trip"),
     "p4_parameters_typed": ("test_pivot", "test_one_row_per_entity"),
     "p4_variables_typed": ("test_pivot", "test_one_row_per_entity"),
-    "p5_found": ("test_moments", "test_formats"),
-    "p5_report": ("test_moments", "test_formats"),
     "p5_mixture": ("test_moments", "test_expectation_maximisation_counts"),
 }
 
