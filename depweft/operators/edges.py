@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depweft.functions.ranks import at_least
 from depweft.functions.tokens import evidence_list
-from depweft.runtime import broadcast_if_small
+from depweft.runtime import broadcast_if_small, placed
 
 KEY = ["from_id", "to_id"]
 
@@ -57,6 +57,11 @@ def environment_diff(edges: DataFrame, node: str | None, env_a: str, env_b: str)
     return both.withColumn("change", change).filter(F.col("change").isNotNull()).select(*KEY, "change", "confidence_a", "confidence_b")
 
 
+def diff_in_order(diff: DataFrame) -> DataFrame:
+    """A difference with ``place``: its rows by kind of change, then by both ends."""
+    return placed(diff, ["change", *KEY])
+
+
 def union_of(edges: DataFrame, env_a: str, env_b: str) -> DataFrame:
     return edges.filter(F.col("env").isin(env_a, env_b)).select(*KEY).distinct()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depweft.functions.ranks import confidence_label, confidence_rank
 from depweft.functions.tokens import redact_evidence
+from depweft.runtime import placed
 
 KEY = ["from_id", "to_id"]
 
@@ -51,6 +52,11 @@ def three_way(static: DataFrame, runtime: DataFrame, redact: bool = True) -> Dat
     return out.withColumn("status", status).drop("__s", "__r")
 
 
+def in_order(report: DataFrame) -> DataFrame:
+    """The report with ``place``: its rows by status, then by both ends."""
+    return placed(report, ["status", *KEY])
+
+
 def unknown_services(resolved: DataFrame, env: str) -> DataFrame:
     """Services that no repository answers for, once each."""
     return resolved.filter(F.col("reason").isNotNull()).select("service", F.lit(env).alias("env"), "reason").distinct()

@@ -185,6 +185,14 @@ def three_way(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.three_way(static, runtime)
 
 
+def three_way_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.in_order(three_way(spark, d))
+
+
+def env_diff_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return E.diff_in_order(env_diff_all(spark, d))
+
+
 def three_way_counts(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.counts(three_way(spark, d))
 
@@ -231,7 +239,7 @@ def queries() -> dict:
         "g1_relevant": relevant, "g1_relevant_medium": relevant_medium, "g2_impact": impact, "g3_path": path,
         "g4_path_any_env": path_any_env, "g5_build_reach": build_reach, "g_reach": nation_reach, "g_envelope": result_envelope,
         "j9_outbound": outbound, "j10_inbound": inbound, "j11_neighbours": neighbours, "j13_resolve_ids": resolve_ids,
-        "j13_resolve_repos": resolve_repos, "j14_three_way": three_way, "j15_env_diff": env_diff, "j15_env_diff_all": env_diff_all,
+        "j13_resolve_repos": resolve_repos, "j14_three_way": three_way, "t2_report_in_order": three_way_in_order, "t3_diff_in_order": env_diff_in_order, "j15_env_diff": env_diff, "j15_env_diff_all": env_diff_all,
         "j21_latest_deployed": latest_deployed, "a1_weakest_links": weakest_links, "a3_pairwise": pairwise_confidence,
         "a5_observed_dedupe": observed_dedupe, "a10_edge_summary": edge_summary, "a10_three_way_counts": three_way_counts,
         "a15_capability_confidence": capability_confidence, "pred2_confident_edges": confident_edges, "t1_edges_sorted": edge_sorted,
@@ -285,6 +293,13 @@ SELECT CAST(step AS INT) AS step, path[step] AS from_id, path[step + 1] AS to_id
 _SETS = "SELECT DISTINCT from_id, to_id FROM {t} WHERE env = '{e}'"
 
 
+_THREE_WAY = f"""WITH {OBSERVATION}, s AS (SELECT DISTINCT 's' || src_key AS f, 's' || dst_key AS t FROM observation WHERE env = 'prod' AND flag IN ('A', 'N')),
+          r AS (SELECT DISTINCT 's' || src_key AS f, 's' || dst_key AS t FROM observation WHERE env = 'prod' AND flag IN ('N', 'R'))
+          SELECT coalesce(s.f, r.f) AS from_id, coalesce(s.t, r.t) AS to_id,
+            CASE WHEN r.f IS NULL THEN 'static-only' WHEN s.f IS NULL THEN 'runtime-only' ELSE 'confirmed' END AS status
+          FROM s FULL OUTER JOIN r ON s.f = r.f AND s.t = r.t"""
+
+
 def oracle_sql() -> dict[str, str]:
     conf = RANK_SQL.format(c="confidence")
     return {
@@ -312,11 +327,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT ref, coalesce(ids.id, ref) AS id FROM wanted LEFT JOIN ids ON ref = repo_id""",
         "j13_resolve_repos": f"""WITH {DEPLOYABLE}, {EDGE}, wanted AS (SELECT DISTINCT to_id AS ref FROM edge)
           SELECT ref, coalesce(repo_id, ref) AS repo_id FROM wanted LEFT JOIN deployable ON id = ref""",
-        "j14_three_way": f"""WITH {OBSERVATION}, s AS (SELECT DISTINCT 's' || src_key AS f, 's' || dst_key AS t FROM observation WHERE env = 'prod' AND flag IN ('A', 'N')),
-          r AS (SELECT DISTINCT 's' || src_key AS f, 's' || dst_key AS t FROM observation WHERE env = 'prod' AND flag IN ('N', 'R'))
-          SELECT coalesce(s.f, r.f) AS from_id, coalesce(s.t, r.t) AS to_id,
-            CASE WHEN r.f IS NULL THEN 'static-only' WHEN s.f IS NULL THEN 'runtime-only' ELSE 'confirmed' END AS status
-          FROM s FULL OUTER JOIN r ON s.f = r.f AND s.t = r.t""",
+        "j14_three_way": _THREE_WAY,
+        "t2_report_in_order": f"SELECT *, row_number() OVER (ORDER BY status, from_id, to_id) AS place FROM ({_THREE_WAY})",
+        "t3_diff_in_order": f"SELECT *, row_number() OVER (ORDER BY change, from_id, to_id) AS place FROM ({_diff_sql('')})",
         "a10_three_way_counts": f"""WITH {OBSERVATION}, s AS (SELECT DISTINCT src_key AS f, dst_key AS t FROM observation WHERE env = 'prod' AND flag IN ('A', 'N')),
           r AS (SELECT DISTINCT src_key AS f, dst_key AS t FROM observation WHERE env = 'prod' AND flag IN ('N', 'R'))
           SELECT CASE WHEN r.f IS NULL THEN 'static-only' WHEN s.f IS NULL THEN 'runtime-only' ELSE 'confirmed' END AS status, count(*) AS n

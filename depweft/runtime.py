@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and holds at most this many rows.
@@ -126,6 +126,18 @@ def _drop(spark: SparkSession, name: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def placed(df: DataFrame, order: list[str], place: str = "place") -> DataFrame:
+    """``df`` with each row's place (from 1) in an order, which should be total: ranges are sorted by their tasks, and the
+    rows before a range come from one count for each, so no task holds the whole."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = ranged.withColumn("__range", F.shiftright("__id", 33))
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = part.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    at = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return part.join(F.broadcast(counts), "__range").withColumn(place, at).drop("__range", "__before", "__id")
+
+
 @contextlib.contextmanager
 def stages(spark: SparkSession) -> Iterator[None]:
     """Removes the stages written inside when it ends; results must have been written or fetched by then.
