@@ -60,22 +60,13 @@ def parent_states(parents: dict[str, DataFrame]) -> DataFrame:
         ],
     )
     states = states.groupBy("field", "__key", "__at").agg(F.min("__gone").alias("__gone"))
-    # Within a day first: a parent loaded again and again is spread over its days, and only its turns are kept.
-    day = Window.partitionBy("field", "__key", "__day").orderBy("__at")
-    turns = (
-        states.withColumn("__day", F.to_date("__at"))
-        .withColumn("__before", F.lag("__gone").over(day))
-        .filter(F.col("__before").isNull() | (F.col("__before") != F.col("__gone")))
-        .withColumn("__until", F.lead("__at").over(day))
-    )
+    # Within a day first: a parent loaded again and again is spread over its days, and only its turns go on.
+    day = Window.partitionBy("field", "__key", F.to_date("__at")).orderBy("__at")
+    line = Window.partitionBy("field", "__key").orderBy("__at")
+    turns = states.withColumn("__before", F.lag("__gone").over(day)).filter(F.col("__before").isNull() | (F.col("__before") != F.col("__gone")))
+    turns = turns.withColumn("__until", F.lead("__at").over(line))
     gone = F.when(F.col("__gone") & F.col("__at").isNotNull(), F.struct(F.col("__at").alias("a"), F.col("__until").alias("b")))
-    days = turns.groupBy("field", "__key", "__day").agg(F.min("__at").alias("__first"), F.collect_list(gone).alias("__deleted"))
-    # An interval still open at the end of its day ends with the first state of the next day that has one.
-    following = F.lead("__first").over(Window.partitionBy("field", "__key").orderBy("__day"))
-    closed = F.transform("__deleted", lambda i: F.struct(i["a"].alias("a"), F.coalesce(i["b"], F.col("__next")).alias("b")))
-    return days.withColumn("__next", following).groupBy("field", "__key").agg(
-        F.min("__first").alias("__first"), F.flatten(F.collect_list(closed)).alias("__deleted")
-    )
+    return turns.groupBy("field", "__key").agg(F.min("__at").alias("__first"), F.collect_list(gone).alias("__deleted"))
 
 
 def orphan_references(
