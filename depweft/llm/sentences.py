@@ -191,8 +191,12 @@ class Cascade:
         last, following = before[-12:], text[at : at + 12]
         if last.isupper() and following.isupper() and sum(map(str.isalpha, last)) > 3 and sum(map(str.isalpha, following)) > 1:
             text, at, before = text[at : at + 40].lower(), 0, before.lower()
+        follows: dict[re.Pattern, bool] = {}  # few patterns stand behind many rules
         for rule in self.rules:
-            if rule.before.search(before) and rule.after.match(text, at):
+            fits = follows.get(rule.after)
+            if fits is None:
+                fits = follows[rule.after] = bool(rule.after.match(text, at))
+            if fits and rule.before.search(before):
                 return rule.breaks
         return False
 
