@@ -201,7 +201,10 @@ def mixture(counts: pd.DataFrame) -> pd.DataFrame:
 
 
 def zone_letters(spark: SparkSession, spaces: DataFrame) -> DataFrame:
-    """``spaceid, home, letters, dateorder`` of each space; zone names are bounded by the zone database."""
+    """``spaceid, home, letters, dateorder`` of each space; zone names are bounded by the zone database.
+
+    Of several rows of one space the greatest (timezone, dateorder) counts.
+    """
     names = [r[0] for r in spaces.select("timezone").distinct().limit(2001).collect()]
     if len(names) > 2000:
         raise ValueError("more zone names than the zone database has")
@@ -220,8 +223,7 @@ def zone_letters(spark: SparkSession, spaces: DataFrame) -> DataFrame:
         rows.append((name, letters))
     zones = spark.createDataFrame(rows, "timezone string, letters map<string,string>")
     return (
-        spaces.select("spaceid", "timezone", "dateorder")
-        .dropDuplicates(["spaceid"])
+        spaces.groupBy("spaceid").agg(F.max(F.struct("timezone", "dateorder")).alias("s")).select("spaceid", "s.*")
         .join(F.broadcast(zones), "timezone", "left")
         .select("spaceid", F.when(F.col("letters").isNotNull(), F.col("timezone")).alias("home"), "letters", "dateorder")
     )

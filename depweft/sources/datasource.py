@@ -6,8 +6,11 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from depweft.runtime import ship
+
 
 class PagesReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
@@ -35,3 +38,9 @@ class PagesSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return PagesReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, and this package to its executors."""
+    ship(spark)
+    spark.dataSource.register(PagesSource)

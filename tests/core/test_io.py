@@ -10,7 +10,7 @@ from depweft.api import QueryEngine
 from depweft.cli import main
 from depweft.sinks.store import GraphStore, cached, evidence_json, report_json
 from depweft.sources import cicd, config, telemetry, vcs
-from depweft.sources.datasource import PagesSource
+from depweft.sources.datasource import register
 from depweft.streaming import observed
 
 
@@ -31,7 +31,7 @@ def test_vcs(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "x.txt").write_text("hello")
     assert rows(vcs.local_files(spark, str(tmp_path)).select("content", "size")) == [("hello", 5)]
-    spark.dataSource.register(PagesSource)
+    register(spark)
     (tmp_path / "p1.json").write_text(json.dumps({"values": [{"a": 1}, {"a": 2}]}))
     assert rows(spark.read.format("pages").load(str(tmp_path)).select("ord", "body")) == [(0, '{"a": 1}'), (1, '{"a": 2}')]
 
@@ -214,3 +214,24 @@ def test_versions_and_winners(spark, tmp_path):
         store.insert_edges("DEPENDS_ON", spark.createDataFrame([(f"x{n}", "b", "prod", "low", 7)], edge))
     assert store.read("DEPENDS_ON").count() == 5
     assert sorted(p.name for p in (tmp_path / "s" / "DEPENDS_ON").iterdir() if p.name[0] == "v") == ["v5", "v6"]
+
+
+def test_operators_bring_their_package(tmp_path):
+    """From another folder, on frames read without any helper of the package: workers get it from the operator itself."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from depweft.operators import shred
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.driver.memory", "1g").getOrCreate()
+df = spark.createDataFrame([(1, '{{"settings": {{"property": {{"name": "x"}}}}}}')], "bt_row bigint, payload string")
+assert shred.build_type_rows(df).count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
